@@ -5,10 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from domgraph.llm import token_output
+from pyspark.sql import functions as F
+
+from domgraph.llm import token_output, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
+TOXIC_FROM = 0.3
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +23,24 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.encode_and_digest(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), end_id=END_ID)
 
 
+def _remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents: doc_id, held_out, score, predicted."""
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scores = toxicity.score(docs, toxicity.train(docs, labels, _remainder(4) != 2))
+    return scores.select(
+        "doc_id",
+        F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLES: dict[str, str] = {}
