@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from domgraph.llm import token_output, toxicity
+from domgraph.llm import simhash, token_output, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -27,6 +27,11 @@ def _remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of all documents: doc_id, fingerprint, component_id."""
+    return simhash.near_duplicates(_documents(spark, sf_dir), words_in_shingle=3, budget=2)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents: doc_id, held_out, score, predicted."""
     docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -41,6 +46,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
 }
 ORACLES: dict[str, str] = {}
