@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from domgraph.llm import simhash, token_output, toxicity
+from domgraph.llm import decontaminate, simhash, token_output, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -27,6 +27,11 @@ def _remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of documents that repeat a benchmark item: doc_id, item_id, start, end, edits, item_chars."""
+    return decontaminate.contaminated_regions(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of all documents: doc_id, fingerprint, component_id."""
     return simhash.near_duplicates(_documents(spark, sf_dir), words_in_shingle=3, budget=2)
@@ -46,6 +51,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op6_decontaminate": op6_decontaminate,
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
 }

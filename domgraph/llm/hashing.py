@@ -49,6 +49,11 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def scale(n: int) -> np.ndarray:
+    """What moves a difference of prefix sums that starts at each of n positions to position zero."""
+    return _powers(n + 1)[1][:n]
+
+
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of True."""
     edges = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).view(np.int8)))
