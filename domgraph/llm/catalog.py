@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from domgraph.llm import decontaminate, simhash, token_output, toxicity
+from domgraph.llm import decontaminate, mixture, simhash, token_output, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -27,6 +27,11 @@ def _remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document: doc_id, size, source_size, target, taken."""
+    return mixture.mix(_documents(spark, sf_dir))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions of documents that repeat a benchmark item: doc_id, item_id, start, end, edits, item_chars."""
     return decontaminate.contaminated_regions(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -51,8 +56,37 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op4_mixture": op4_mixture,
     "op6_decontaminate": op6_decontaminate,
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    # A source's blocks are taken in turn, so its words are taken whole rounds and then from the first on.
+    "op4_mixture": r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight,
+         3.0::DOUBLE * source_size AS most
+  FROM sources
+), filled AS (
+  SELECT *, most / weight AS full_at,
+         (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+           / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate
+  FROM weighed
+), targets AS (
+  SELECT source, source_size, round(least(most, weight * (SELECT arg_min(rate, full_at) FROM filled WHERE rate <= full_at)), 6) AS target FROM filled
+), placed AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('mix' || coalesce(doc_id::VARCHAR, '')), doc_id, size
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+  FROM sized
+)
+SELECT doc_id, size, source_size, target,
+       CASE WHEN size = 0 THEN 0 ELSE (round(target)::BIGINT // source_size) * size
+         + greatest(0, least(place + size, round(target)::BIGINT % source_size) - place) END::BIGINT AS taken
+FROM placed JOIN targets ON placed.source IS NOT DISTINCT FROM targets.source
+""",
+}
