@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from domgraph.llm import decontaminate, mixture, simhash, token_output, toxicity
+from domgraph.llm import decontaminate, line_dedup, mixture, simhash, token_output, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -37,6 +37,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_regions(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What line dedup leaves of each document: doc_id, n_lines, n_dropped, kept_sha256."""
+    return line_dedup.dedup_digests(_documents(spark, sf_dir), least_chars=10)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of all documents: doc_id, fingerprint, component_id."""
     return simhash.near_duplicates(_documents(spark, sf_dir), words_in_shingle=3, budget=2)
@@ -58,6 +63,7 @@ QUERIES = {
     "op1_token_output": op1_token_output,
     "op4_mixture": op4_mixture,
     "op6_decontaminate": op6_decontaminate,
+    "op7_line_dedup": op7_line_dedup,
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
 }
@@ -88,5 +94,22 @@ SELECT doc_id, size, source_size, target,
        CASE WHEN size = 0 THEN 0 ELSE (round(target)::BIGINT // source_size) * size
          + greatest(0, least(place + size, round(target)::BIGINT % source_size) - place) END::BIGINT AS taken
 FROM placed JOIN targets ON placed.source IS NOT DISTINCT FROM targets.source
+""",
+    "op7_line_dedup": r"""
+WITH numbered AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM numbered
+), owners AS (
+  SELECT key, min(doc_id) AS owner FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2
+), marked AS (
+  SELECT keyed.*, owner IS NOT NULL AND doc_id <> owner AS dropped FROM keyed LEFT JOIN owners USING (key)
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count_if(dropped)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
 """,
 }
