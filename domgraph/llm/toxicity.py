@@ -26,6 +26,7 @@ from domgraph.llm import hashing
 _SKIP = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 _STEMS = (4, 6)
 _BITMAP_BITS = 22
+_COUNT_BITS = 25
 #: Largest model that is broadcast.
 _MOST_WEIGHTS = 4 << 20
 _INTERCEPT = 0
@@ -35,7 +36,7 @@ _INTERCEPT = 0
 class Settings:
     """Parameters of the fit. most_rows bounds the labelled sample."""
 
-    most_rows: int = 12_000
+    most_rows: int = 6_000
     epochs: int = 3
     alpha: float = 1.0
     beta: float = 1.0
@@ -67,16 +68,24 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(texts: list[str], labels: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray, float]:
     """Sorted features with a weight, their weights, and the intercept."""
+    # Twice over the texts: first documents are counted by feature bucket, then only features that can be common are held.
+    bucket = np.uint64(64 - _COUNT_BITS)
+    seen = np.zeros(1 << _COUNT_BITS, np.uint16)
     rows, found = [], []
-    for part in hashing.chunks(enumerate(texts), 1):
-        at, feature = features([t for _, t in part])
-        rows.append(at + part[0][0])
-        found.append(feature)
+    for counting in (True, False):
+        for text in enumerate(texts):
+            feature = np.unique(features([text[1]])[1])
+            at = (feature >> bucket).astype(np.int64)
+            if counting:
+                seen[at] += 1
+            else:
+                found.append(feature[seen[at] >= settings.least_documents])
+                rows.append(np.full(len(found[-1]), text[0], np.int32))
+    rows = np.concatenate(rows)
     names, index = np.unique(np.concatenate(found), return_inverse=True)
-    pairs = np.unique(np.concatenate(rows) * np.int64(len(names)) + index)
-    rows, index = pairs // max(1, len(names)), pairs % max(1, len(names))
     common = np.bincount(index, minlength=len(names)) >= settings.least_documents
-    names, rows, index = names[common], rows[common[index]], (np.cumsum(common) - 1)[index[common[index]]]
+    names, rows, index = names[common], rows[common[index]], (np.cumsum(common) - 1)[index[common[index]]].astype(np.int32)
+    del found
     bounds = np.searchsorted(rows, np.arange(len(texts) + 1))
     n, z = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     last = len(names)
