@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from domgraph.llm import decontaminate, line_dedup, mixture, simhash, token_output, toxicity
+from domgraph.llm import decontaminate, line_dedup, mixture, simhash, span_dedup, token_output, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -59,6 +59,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that lose repeated passages: doc_id, n_sentences, n_removed, removed, kept_sha256."""
+    return span_dedup.dedup(_documents(spark, sf_dir), least_words=25, changed_only=True, digest=True)
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op4_mixture": op4_mixture,
@@ -66,6 +71,7 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
+    "op10_span_dedup": op10_span_dedup,
 }
 ORACLES: dict[str, str] = {
     # A source's blocks are taken in turn, so its words are taken whole rounds and then from the first on.
