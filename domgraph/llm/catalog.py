@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from domgraph.llm import decontaminate, line_dedup, mixture, simhash, span_dedup, token_output, toxicity
+from domgraph.llm import decontaminate, langid, line_dedup, mixture, simhash, span_dedup, token_output, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -18,13 +18,20 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, read back: doc_id, start, n_tokens, ids_crc32."""
     return token_output.encode_and_digest(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), end_id=END_ID)
 
 
-def _remainder(n: int):
-    return F.crc32(F.col("doc_id").cast("string")) % n
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents: doc_id, held_out, lang_pred, score."""
+    docs = _documents(spark, sf_dir)
+    found = langid.identify(docs, langid.train(docs, _remainder(3) != 1))
+    return found.select("doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +73,7 @@ def op10_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op2_langid": op2_langid,
     "op4_mixture": op4_mixture,
     "op6_decontaminate": op6_decontaminate,
     "op7_line_dedup": op7_line_dedup,
