@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from domgraph.llm import decontaminate, langid, line_dedup, mixture, simhash, span_dedup, token_output, toxicity
+from domgraph.llm import decontaminate, langid, line_dedup, media, mixture, simhash, span_dedup, token_output, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -39,6 +39,11 @@ def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(_documents(spark, sf_dir))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media of all documents, stored and read back: doc_id, sizes, digests and a feature string."""
+    return media.store_and_describe(_documents(spark, sf_dir))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions of documents that repeat a benchmark item: doc_id, item_id, start, end, edits, item_chars."""
     return decontaminate.contaminated_regions(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -75,6 +80,7 @@ QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_langid": op2_langid,
     "op4_mixture": op4_mixture,
+    "op5_media": op5_media,
     "op6_decontaminate": op6_decontaminate,
     "op7_line_dedup": op7_line_dedup,
     "op8_simhash": op8_simhash,
