@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from domgraph.llm import decontaminate, langid, line_dedup, media, mixture, simhash, span_dedup, token_output, toxicity
+from domgraph.llm import decontaminate, langid, line_dedup, media, mixture, secrets, simhash, span_dedup, token_output, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -34,6 +34,11 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents: doc_id, counts by kind, base_sha256, spans, and how many are live or copied."""
+    return secrets.scan(_documents(spark, sf_dir))
+
+
 def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of each document: doc_id, size, source_size, target, taken."""
     return mixture.mix(_documents(spark, sf_dir))
@@ -79,6 +84,7 @@ def op10_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_langid": op2_langid,
+    "op3_secrets": op3_secrets,
     "op4_mixture": op4_mixture,
     "op5_media": op5_media,
     "op6_decontaminate": op6_decontaminate,
