@@ -265,11 +265,95 @@ def near_duplicates(docs: DataFrame, *, words_in_shingle: int = 3, budget: int =
     return components(fps, budget).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, *, words_in_shingle: int = 5, budget: int = 2) -> DataFrame:
-    """All columns of one document of each component, that of the smallest doc_id.
+def _shingles(text: str | None, words_in_shingle: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    last = max(1, len(words) - words_in_shingle + 1)
+    starts = np.concatenate(([0], ends))[:last].tolist()
+    stops = (ends[min(words_in_shingle, len(words)) - 1 :] - 1).tolist()
+    return np.unique(np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, last))
+
+
+#: Odd multipliers that put a text's shingles in another order for each slice.
+_ORDERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+
+
+def slice_fingerprints(hashes: np.ndarray, slices: int, shingles: int) -> list[int]:
+    """The SimHash of each slice: the `shingles` hashes that come first in the slice's order."""
+    out = []
+    for k in range(slices):
+        order = hashing.mix(hashes * _ORDERS[k])
+        chosen = np.sort(np.partition(order, shingles - 1)[:shingles] if len(order) > shingles else order)
+        # Mixed once more with its rank's salt, so that an even split of votes on a bit is no tie of the set.
+        voters = hashing.mix(chosen + np.arange(1, len(chosen) + 1, dtype=np.uint64) * _ORDERS[k + 1])
+        ones = np.unpackbits(voters.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(ones * 2 > len(chosen)).view(np.int64)[0]))
+    return out
+
+
+def _slices(words_in_shingle: int, slices: int, shingles: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [slice_fingerprints(h, slices, shingles) for h in (_shingles(x.as_py(), words_in_shingle) for x in batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "slices"])
+
+    return run
+
+
+def _similar(words_in_shingle: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (_shingles(t.as_py(), words_in_shingle) for t in (a, b))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= similarity * max(1, len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep))
 
-    A document is its doc_id: rows that share one stay or go together, and rows without one stay.
+    return run
+
+
+def similar_links(texts: DataFrame, *, words_in_shingle: int, similarity: float, slices: int, shingles: int) -> DataFrame:
+    """Links (a, b) between the nodes of texts (node, text: distinct texts) of at least the similarity.
+
+    At a similarity of 0.8 two whole-text fingerprints differ in about 10 of 64 bits, where a trie prunes nothing. So
+    the fingerprints are those of slices (a few shingles each, chosen by a hash order of its own), which two texts of
+    similarity s share entirely with probability about s ** shingles each: the trie join's budget is zero
+    bits. Each text is compared with the smallest and the largest node of each of its slices, word shingles against word shingles.
     """
-    fps = scratch.table(fingerprints(docs, words_in_shingle), "fingerprints")
-    gone = components(fps, budget).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    parts = texts.select("node", "text").mapInArrow(_slices(words_in_shingle, slices, shingles), "node bigint, slices array<bigint>")
+    parts = scratch.table(parts.select("node", F.posexplode("slices").alias("slice", "fp")), "slices")
+    ends = parts.groupBy("slice", "fp").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
+    met = parts.join(ends, ["slice", "fp"]).select("node", F.explode(F.array("least", "most")).alias("other")).where("node <> other")
+    pairs = scratch.table(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    known = scratch.table(texts.join(wanted, "node", "left_semi").select("node", "text"), "texts")
+    both = pairs.join(known.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    both = both.join(known.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(words_in_shingle, similarity), "a bigint, b bigint")
+
+
+def keep_first(docs: DataFrame, *, words_in_shingle: int = 5, similarity: float = 0.8, slices: int = 24, shingles: int = 4) -> DataFrame:
+    """All columns of one document of each group of near-duplicates, that of the smallest doc_id.
+
+    Groups are the components of links of at least the similarity (of sets of word shingles); equal texts are one
+    node. A document is its doc_id: rows that share one stay or go together, and rows without one stay. Texts
+    without words are equal texts.
+    """
+    rows = docs.where(F.col("doc_id").isNotNull()).select(
+        F.col("doc_id").cast("bigint").alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    )
+    rows = rows.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
+    same = scratch.table(rows.select("doc", "t1", "t2"), "text-hashes")
+    nodes = scratch.table(same.groupBy("t1", "t2").agg(F.min("doc").alias("node")), "distinct-texts")
+    texts = rows.join(nodes.select(F.col("node").alias("doc")), "doc", "left_semi").select(F.col("doc").alias("node"), "text")
+    settings = {"words_in_shingle": words_in_shingle, "similarity": similarity, "slices": slices, "shingles": shingles}
+    labels = smallest_reachable(nodes.select(F.col("node").alias("fp"), F.col("node").alias("least")), similar_links(texts, **settings))
+    copies = same.join(nodes, ["t1", "t2"]).where("doc <> node").select("doc")
+    near = labels.where("fp <> component").select(F.col("fp").alias("doc"))
+    gone = copies.union(near).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["doc"], "left_anti").select(docs.columns)
