@@ -1,6 +1,97 @@
-"""Registered queries and their DuckDB equivalents."""
+"""Registered queries: every operator over fact tables that are derived from the test tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from domgraph.operators import intervals, report, resolve
+from domgraph.plans.facts import fact
+from domgraph.plans.oracle import ORACLES as ORACLES
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[run.__name__] = run
+    return run
+
+
+def _facts(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+    return [fact(spark, sf_dir, n) for n in names]
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.resolve(*_facts(spark, sf_dir, "declaration", "conformance"))
+
+
+def _edges(spark: SparkSession, sf_dir: str, resolved: DataFrame) -> DataFrame:
+    declarations, calls, closures, names, awaited, unknown = _facts(
+        spark, sf_dir, "declaration", "call_edge", "closure_literal", "global_actor_name", "awaited_range", "unknown_usr"
+    )
+    return report.report_edges(declarations, calls, resolved, intervals.classify_closures(closures, names), awaited, unknown)
+
+
+@query
+def resolve_hierarchy(spark, sf_dir):
+    """The isolation of every declaration."""
+    return _resolved(spark, sf_dir)
+
+
+@query
+def cross_edges(spark, sf_dir):
+    """Calls between different isolations."""
+    return report.cross_edges(fact(spark, sf_dir, "call_edge"), _resolved(spark, sf_dir))
+
+
+@query
+def closure_override(spark, sf_dir):
+    """The innermost closure's override at each call site."""
+    calls, closures, names = _facts(spark, sf_dir, "call_edge", "closure_literal", "global_actor_name")
+    return intervals.closure_override(calls, intervals.classify_closures(closures, names))
+
+
+@query
+def awaited_edges(spark, sf_dir):
+    """Call sites in an awaited range."""
+    return intervals.awaited_sites(*_facts(spark, sf_dir, "call_edge", "awaited_range"))
+
+
+@query
+def risk_edges(spark, sf_dir):
+    """Reported edges with risk and explanation."""
+    return _edges(spark, sf_dir, _resolved(spark, sf_dir))
+
+
+@query
+def severity_filter(spark, sf_dir):
+    """Reported edges of high risk and uncertain ones."""
+    return report.severity_filter(_edges(spark, sf_dir, _resolved(spark, sf_dir)), "high")
+
+
+@query
+def synthetic_nodes(spark, sf_dir):
+    """Nodes of reported endpoints without a declaration."""
+    return report.synthetic_nodes(_edges(spark, sf_dir, _resolved(spark, sf_dir)), fact(spark, sf_dir, "declaration"))
+
+
+@query
+def report_nodes(spark, sf_dir):
+    """All nodes of the report."""
+    resolved = _resolved(spark, sf_dir)
+    return report.nodes(fact(spark, sf_dir, "declaration"), resolved, _edges(spark, sf_dir, resolved))
+
+
+@query
+def risk_summary(spark, sf_dir):
+    """The summary counters."""
+    resolved = _resolved(spark, sf_dir)
+    declarations, conformances, calls = _facts(spark, sf_dir, "declaration", "conformance", "call_edge")
+    return report.summary(declarations, conformances, calls, resolved, _edges(spark, sf_dir, resolved))
+
+
+@query
+def uncertainty_rate(spark, sf_dir):
+    """How many reported edges are uncertain."""
+    return report.uncertainty(_edges(spark, sf_dir, _resolved(spark, sf_dir)))
