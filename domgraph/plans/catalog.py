@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from domgraph.operators import intervals, report, resolve
+from domgraph.functions import grammar
+from domgraph.operators import backfill, intervals, link, report, resolve, staleness
+from domgraph.plans import sinks
 from domgraph.plans.facts import fact
 from domgraph.plans.oracle import ORACLES as ORACLES
 
@@ -95,3 +98,222 @@ def risk_summary(spark, sf_dir):
 def uncertainty_rate(spark, sf_dir):
     """How many reported edges are uncertain."""
     return report.uncertainty(_edges(spark, sf_dir, _resolved(spark, sf_dir)))
+
+
+@query
+def severity_summary(spark, sf_dir):
+    """How many edges each level of the filter keeps."""
+    edges = _edges(spark, sf_dir, _resolved(spark, sf_dir))
+    kept = None
+    for level in report.RISKS:
+        rows = report.severity_filter(edges, level).groupBy("risk").agg(F.count("*").alias("n")).withColumn("level", F.lit(level))
+        kept = rows if kept is None else kept.unionByName(rows)
+    return kept
+
+
+@query
+def protocol_closure(spark, sf_dir):
+    """G1: all ancestors of each protocol, through a cycle."""
+    return link.protocol_closure(fact(spark, sf_dir, "protocol_parent"))
+
+
+@query
+def conformance_expansion(spark, sf_dir):
+    """Conformances with every ancestor protocol."""
+    conformances, parents = _facts(spark, sf_dir, "conformance", "protocol_parent")
+    return link.with_ancestors(conformances, link.protocol_closure(parents))
+
+
+@query
+def location_link(spark, sf_dir):
+    """Declarations and the symbols at their place."""
+    declarations, symbols = _facts(spark, sf_dir, "declaration", "indexed_symbol")
+    return link.match_locations(declarations, symbols)
+
+
+@query
+def own_identity(spark, sf_dir):
+    """Declarations under the symbol of their place, else of their placeholder."""
+    declarations, symbols = _facts(spark, sf_dir, "declaration", "indexed_symbol")
+    matched = link.match_locations(declarations, symbols)
+    return link.own_identity(declarations, matched, link.placeholder_map(declarations, matched)).select("usr", "name", "file", "line")
+
+
+@query
+def merge_collisions(spark, sf_dir):
+    """A1: declarations that fall together on one symbol."""
+    rows = fact(spark, sf_dir, "declaration").withColumn("usr", F.concat(F.left("usr", F.lit(1)), (F.col("ord") % 500).cast("string")))
+    return link.merge(rows)
+
+
+@query
+def accessor_canon(spark, sf_dir):
+    """Calls with accessors replaced by their property."""
+    calls, relations = _facts(spark, sf_dir, "call_edge", "relation")
+    return link.canonical(calls, link.accessor_owner(relations))
+
+
+@query
+def setter_suppress(spark, sf_dir):
+    """Calls of odd symbols where no call of an even one is made."""
+    calls = fact(spark, sf_dir, "call_edge")
+    odd = F.substring("callee_usr", 2, 20).cast("bigint") % 2 == 1
+    return link.without_setters(calls.where(odd), calls.where(~odd & (F.col("line") % 20 == 0)))
+
+
+@query
+def call_graph_union(spark, sf_dir):
+    """Calls of known symbols, and of unknown ones in some files."""
+    calls, declarations = _facts(spark, sf_dir, "call_edge", "declaration")
+    return link.call_graph(calls, declarations, calls.where("line % 3 = 0 AND col > 78").select("file"))
+
+
+@query
+def base_of(spark, sf_dir):
+    """Base names that stand for one symbol."""
+    return link.unique_base(fact(spark, sf_dir, "relation"))
+
+
+@query
+def earliest_callsite(spark, sf_dir):
+    """A5: the first call of each symbol."""
+    return link.earliest_call(fact(spark, sf_dir, "call_edge"))
+
+
+@query
+def mangled_forms(spark, sf_dir):
+    """What the symbol grammar reads from mangled names."""
+    u = F.col("usr")
+    return fact(spark, sf_dir, "mangled").select(
+        "p_partkey",
+        "usr",
+        grammar.imported_struct_container(u).alias("struct"),
+        grammar.is_imported_constant(u).alias("constant"),
+        grammar.swift_enum(u).alias("swift_enum"),
+        grammar.objc_enum(u).alias("objc_enum"),
+        grammar.hashable_owner(u).alias("hashable"),
+        grammar.subscript_declaration(u).alias("subscript"),
+        grammar.static_declaration(u).alias("static"),
+        grammar.objc_property(u).alias("property"),
+        grammar.module_suffix(u).alias("suffix"),
+        grammar.without_module_qualifier(u).alias("unqualified"),
+    )
+
+
+def _known_types(spark, sf_dir):
+    mangled = fact(spark, sf_dir, "mangled").where("p_partkey % 2 = 0")
+    return mangled.select(F.coalesce(grammar.swift_enum(F.col("usr")), grammar.hashable_owner(F.col("usr"))).alias("usr")).where("usr IS NOT NULL")
+
+
+@query
+def matcher_chain(spark, sf_dir):
+    """The first matcher that settles each unknown callee."""
+    mangled = fact(spark, sf_dir, "mangled")
+    bulk = mangled.where("p_partkey % 4 <> 1").select(
+        F.coalesce(grammar.subscript_declaration(F.col("usr")), grammar.static_declaration(F.col("usr")), grammar.objc_property(F.col("usr"))).alias("usr"),
+        F.lit("globalActor(MainActor)").alias("isolation"),
+    )
+    return backfill.matcher_chain(mangled, _known_types(spark, sf_dir), bulk.where("usr IS NOT NULL").distinct())
+
+
+@query
+def sibling_alias(spark, sf_dir):
+    """Callees and the same symbol of another module."""
+    parts = fact(spark, sf_dir, "mangled").where("p_partkey % 9 = 3")
+    moved = parts.select(F.regexp_replace("usr", "^s:4Moya", "s:5MoyaX").alias("usr")).union(
+        parts.select(F.regexp_replace("usr", "^s:4Moya", "s:6AMoyaX").alias("usr"))
+    )
+    return backfill.sibling_facts(parts, moved)
+
+
+@query
+def inherit_chain(spark, sf_dir):
+    """The nearest signal up the superclass chain."""
+    types = fact(spark, sf_dir, "declaration").where("usr LIKE 'P%'").select("usr", "superclass_usr", F.col("explicit_isolation").alias("signal"))
+    return backfill.nearest_signal(types)
+
+
+@query
+def bulk_lookup(spark, sf_dir):
+    """Verdicts of members through their type's chain, looked up for callees."""
+    declarations, calls = _facts(spark, sf_dir, "declaration", "call_edge")
+    types = declarations.where("usr LIKE 'P%'").select("usr", "superclass_usr", F.col("explicit_isolation").alias("signal"))
+    chains = backfill.nearest_signal(types)
+    members = declarations.where("usr LIKE 'S%'").select("usr", F.col("explicit_isolation").alias("signal"), F.col("superclass_usr").alias("member_of"))
+    verdicts = backfill.external_verdict(members, chains)
+    return calls.select(F.col("callee_usr").alias("usr")).distinct().join(verdicts, "usr")
+
+
+@query
+def claim_once(spark, sf_dir):
+    """Each superclass and container claimed by one declaration."""
+    declarations = fact(spark, sf_dir, "declaration").where("explicit_isolation IS NULL AND enclosing_extension_isolation IS NULL")
+    wanted = declarations.select(
+        F.lit("superclass").alias("kind"), F.col("superclass_usr").alias("target"), F.lit("").alias("pair_of"), F.col("is_nested_type").cast("int").alias("tier"), "file", "line", "col", "usr"
+    ).unionByName(
+        declarations.select(
+            F.lit("container").alias("kind"), F.col("containing_type_usr").alias("target"), F.lit("").alias("pair_of"), F.col("is_static_member").cast("int").alias("tier"), "file", "line", "col", "usr"
+        )
+    )
+    return backfill.claim_once(wanted.where("target IS NOT NULL")).select("kind", "target", "usr", "tier")
+
+
+@query
+def pair_fanout(spark, sf_dir):
+    """An actor found for (nominal, protocol) on every conformance of the pair."""
+    conformances, declarations = _facts(spark, sf_dir, "conformance", "declaration")
+    found = declarations.where("usr LIKE 'N%'").select(F.col("usr").alias("nominal"), F.concat(F.lit("Q"), (F.col("ord") % 7).cast("string")).alias("protocol_usr"), F.lit("MainActor").alias("actor"))
+    return backfill.pair_fanout(conformances, declarations.select("usr", "containing_type_usr"), found)
+
+
+@query
+def unknown_propagation(spark, sf_dir):
+    """Failed symbols and their members."""
+    failed = fact(spark, sf_dir, "declaration").where("usr LIKE 'C%' AND ord % 19 = 0 OR usr LIKE 'N%' AND ord % 6 = 0").select("usr")
+    return backfill.propagate_unknown(failed, fact(spark, sf_dir, "declaration"))
+
+
+@query
+def overlay_merge(spark, sf_dir):
+    """Updated and backfilled facts over declarations."""
+    declarations = fact(spark, sf_dir, "declaration").withColumn("file", F.when(F.col("ord") % 5 != 0, F.col("file")))
+    updated = declarations.where("ord % 7 = 0").withColumn("explicit_isolation", F.lit("globalActor(Updated)"))
+    extra = declarations.where("ord % 3 = 0").withColumn("explicit_isolation", F.lit("globalActor(Backfilled)")).withColumn("file", F.lit(None).cast("string"))
+    extra = extra.unionByName(extra.where("ord % 6 = 0").withColumn("usr", F.concat(F.lit("new"), "usr")))
+    return backfill.overlay(declarations, updated, extra).select("usr", "explicit_isolation", "file")
+
+
+@query
+def manifest_diff(spark, sf_dir):
+    """Documents that are new, changed or gone since the last manifest."""
+    return staleness.manifest_diff(*_facts(spark, sf_dir, "manifest_old", "manifest_new"))
+
+
+@query
+def balanced_chunks(spark, sf_dir):
+    """Call sites dealt to eight workers by whole files."""
+    chunks = staleness.balanced_chunks(fact(spark, sf_dir, "call_edge"), 8)
+    return chunks.groupBy("chunk").agg(F.countDistinct("file").alias("files"), F.count("*").alias("items"))
+
+
+@query
+def closest_name(spark, sf_dir):
+    """the nearest nation for misspelt ones."""
+    names = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("name"))
+    return staleness.closest_name(names.select(F.concat(F.expr("substring(name, 2, 100)"), F.lit("x")).alias("requested")), names)
+
+
+@query
+def mermaid_lines(spark, sf_dir):
+    """The Mermaid diagram's lines."""
+    resolved = _resolved(spark, sf_dir)
+    edges = _edges(spark, sf_dir, resolved)
+    return sinks.mermaid_lines(report.nodes(fact(spark, sf_dir, "declaration"), resolved, edges), edges)
+
+
+@query
+def dot_lines(spark, sf_dir):
+    """The DOT graph's lines."""
+    resolved = _resolved(spark, sf_dir)
+    edges = _edges(spark, sf_dir, resolved)
+    return sinks.dot_lines(report.nodes(fact(spark, sf_dir, "declaration"), resolved, edges), edges)

@@ -114,6 +114,39 @@ def reported() -> str:
 
 _UNCERTAIN = "(caller_isolation = 'unspecified' OR callee_isolation = 'unspecified' OR is_unknown)"
 
+_ANCESTORS = """up(protocol, ancestor) AS (
+  SELECT protocol, parent FROM protocol_parent UNION SELECT up.protocol, p.parent FROM up JOIN protocol_parent p ON p.protocol = up.ancestor)"""
+
+_MATCHED = """matched AS MATERIALIZED (
+  SELECT usr, file, line, col, real_usr FROM (
+    SELECT *, row_number() OVER (PARTITION BY usr, file, line, col ORDER BY grade, real_usr) AS nth FROM (
+      SELECT d.usr, d.file, d.line, d.col, s.usr AS real_usr,
+             CASE WHEN n = 1 THEN 0 WHEN s.name = d.name THEN 1 WHEN starts_with(s.name, d.name || '(') THEN 2 END AS grade
+      FROM declaration d
+      JOIN (SELECT *, count(*) OVER (PARTITION BY file, line, col) AS n FROM indexed_symbol) s ON s.file = d.file AND s.line = d.line AND s.col = d.col)
+    WHERE grade IS NOT NULL) WHERE nth = 1)"""
+
+_CHAIN = """walk(usr, signal, superclass) AS (
+  SELECT usr, explicit_isolation, superclass_usr FROM declaration WHERE usr LIKE 'P%'
+  UNION ALL SELECT w.usr, d.explicit_isolation, d.superclass_usr FROM walk w JOIN declaration d ON d.usr = w.superclass WHERE w.signal IS NULL),
+chain AS (SELECT usr, coalesce(max(signal), 'nonisolated') AS chain_isolation FROM walk GROUP BY usr)"""
+
+#: The shapes of the generated names, read by their known parts rather than by the grammar.
+_FORMS = """forms AS MATERIALIZED (
+  SELECT p_partkey, usr,
+    CASE WHEN p_partkey % 9 = 0 THEN 's:So6CGSizeV' END AS struct,
+    p_partkey % 9 = 1 AS constant,
+    CASE WHEN p_partkey % 9 = 2 THEN regexp_extract(usr, '^(.*?O)8rawValue', 1) END AS swift_enum,
+    CASE WHEN p_partkey % 9 = 2 THEN 'c:@M@MiniAnchorRepro@E@T' || CAST(p_partkey AS STRING) || 'x' END AS objc_enum,
+    CASE WHEN p_partkey % 9 = 3 THEN left(usr, length(usr) - 14) END AS hashable,
+    CASE WHEN p_partkey % 9 = 4 THEN left(usr, length(usr) - 1) || 'p' END AS subscript,
+    CASE WHEN p_partkey % 9 = 5 THEN left(usr, length(usr) - 2) || 'pZ' END AS static,
+    CASE WHEN p_partkey % 9 = 6 THEN 'c:objc(cs)T' || CAST(p_partkey AS STRING) || 'x(py)shortcutItem' END AS property,
+    CASE WHEN p_partkey % 9 = 2 THEN substr(usr, 20) WHEN p_partkey % 9 = 3 THEN substr(usr, 8) WHEN p_partkey % 9 = 5 THEN substr(usr, 17) END AS suffix,
+    CASE WHEN p_partkey % 9 = 8 THEN 'c:objc(cs)T' || CAST(p_partkey AS STRING) || 'x' ELSE usr END AS unqualified
+  FROM mangled)"""
+_FORM_COLUMNS = ("struct", "constant", "swift_enum", "objc_enum", "hashable", "subscript", "static", "property", "suffix", "unqualified")
+
 ORACLES: dict[str, str] = {
     "resolve_hierarchy": f"WITH {resolved()} SELECT usr, iso FROM resolved",
     "cross_edges": f"WITH {resolved()}, {ctes('call_edge')}, {_CROSS} SELECT * FROM crossing",
@@ -141,4 +174,94 @@ SELECT types_analyzed::BIGINT AS types_analyzed, actors::BIGINT AS actors, main_
 FROM of_types""",
     "uncertainty_rate": f"""WITH {reported()} SELECT count(*)::BIGINT AS total, count_if({_UNCERTAIN})::BIGINT AS n_uncertain,
   coalesce(count_if({_UNCERTAIN}) / nullif(count(*), 0) > {report.UNCERTAIN_FROM}, false) AS alarm FROM reported""",
+    "severity_summary": f"""WITH {reported()}
+SELECT 'low' AS level, risk, count(*)::BIGINT AS n FROM reported GROUP BY risk
+UNION ALL SELECT 'medium', risk, count(*) FROM reported WHERE risk IN ('medium', 'high') OR {_UNCERTAIN} GROUP BY risk
+UNION ALL SELECT 'high', risk, count(*) FROM reported WHERE risk = 'high' OR {_UNCERTAIN} GROUP BY risk""",
+    "protocol_closure": f"WITH RECURSIVE {ctes('protocol_parent')}, {_ANCESTORS} SELECT protocol, ancestor FROM up WHERE protocol <> ancestor",
+    "conformance_expansion": f"""WITH RECURSIVE {ctes("protocol_parent", "conformance")}, {_ANCESTORS},
+reached AS (
+  SELECT c.*, ancestor, row_number() OVER (PARTITION BY usr, ancestor ORDER BY idx) AS nth
+  FROM conformance c JOIN up ON up.protocol = c.protocol_usr AND up.protocol <> ancestor
+  WHERE NOT EXISTS (SELECT 1 FROM conformance o WHERE o.usr = c.usr AND o.protocol_usr = ancestor))
+SELECT * FROM conformance UNION ALL
+SELECT usr, idx, ancestor, protocol_global_actor_name, same_file_as_primary, same_context_as_witness FROM reached WHERE nth = 1""",
+    "location_link": f"WITH {ctes('declaration', 'indexed_symbol')}, {_MATCHED} SELECT * FROM matched",
+    "own_identity": f"""WITH {ctes("declaration", "indexed_symbol")}, {_MATCHED}
+SELECT coalesce(real_usr, d.usr) AS usr, name, d.file, d.line FROM declaration d LEFT JOIN matched m ON m.usr = d.usr""",
+    "merge_collisions": f"""WITH {ctes("declaration")}, moved AS (
+  SELECT * REPLACE (left(usr, 1) || CAST(ord % 500 AS STRING) AS usr) FROM declaration
+)
+SELECT usr, arg_min(name, ord) AS name, arg_min(explicit_isolation, ord) AS explicit_isolation, arg_min(containing_type_usr, ord) AS containing_type_usr,
+  arg_min(superclass_usr, ord) AS superclass_usr, arg_min(enclosing_extension_isolation, ord) AS enclosing_extension_isolation,
+  bool_or(is_actor_type) AS is_actor_type, bool_or(is_static_member) AS is_static_member, bool_or(is_nested_type) AS is_nested_type,
+  bool_or(is_immutable_stored_property) AS is_immutable_stored_property, bool_or(is_actor_initializer) AS is_actor_initializer,
+  bool_and(eligible_default) AS eligible_default, arg_min(file, ord) AS file, arg_min(line, ord) AS line, arg_min(col, ord) AS col, min(ord)::BIGINT AS ord
+FROM moved GROUP BY usr""",
+    "accessor_canon": f"""WITH {ctes("call_edge", "relation")}, owners AS (
+  SELECT usr, coalesce(min(CASE WHEN occurrence_roles & 2 <> 0 THEN target_usr END), min(target_usr)) AS low,
+         coalesce(max(CASE WHEN occurrence_roles & 2 <> 0 THEN target_usr END), max(target_usr)) AS high
+  FROM relation WHERE role = 32768 GROUP BY usr
+), one AS (SELECT usr, low FROM owners WHERE low = high)
+SELECT coalesce(a.low, caller_usr) AS caller_usr, coalesce(b.low, callee_usr) AS callee_usr, file, line, col
+FROM call_edge LEFT JOIN one a ON a.usr = caller_usr LEFT JOIN one b ON b.usr = callee_usr""",
+    "setter_suppress": f"""WITH {ctes("call_edge")} SELECT * FROM call_edge e WHERE CAST(substr(callee_usr, 2) AS BIGINT) % 2 = 1
+AND NOT EXISTS (SELECT 1 FROM call_edge g WHERE CAST(substr(g.callee_usr, 2) AS BIGINT) % 2 = 0 AND g.line % 20 = 0
+                AND g.file = e.file AND g.line = e.line AND g.col = e.col)""",
+    "call_graph_union": f"""WITH {ctes("call_edge", "declaration")} SELECT * FROM call_edge
+WHERE callee_usr IN (SELECT usr FROM declaration) OR file IN (SELECT file FROM call_edge WHERE line % 3 = 0 AND col > 78)""",
+    "base_of": f"""WITH {ctes("relation")} SELECT usr AS nominal, target_name AS name, min(target_usr) AS base_usr FROM relation
+WHERE role = 1024 GROUP BY usr, target_name HAVING count(DISTINCT target_usr) = 1""",
+    "earliest_callsite": f"""WITH {ctes("call_edge")} SELECT callee_usr, file, line, col FROM (
+  SELECT *, row_number() OVER (PARTITION BY callee_usr ORDER BY file, line, col) AS nth FROM call_edge) WHERE nth = 1""",
+    "mangled_forms": f"WITH {ctes('mangled')}, {_FORMS} SELECT p_partkey, usr, {', '.join(_FORM_COLUMNS)} FROM forms",
+    "matcher_chain": f"""WITH {ctes("mangled")}, {_FORMS},
+known AS (SELECT DISTINCT coalesce(swift_enum, hashable) AS usr FROM forms WHERE p_partkey % 2 = 0 AND coalesce(swift_enum, hashable) IS NOT NULL),
+bulk AS (SELECT DISTINCT coalesce(subscript, static, property) AS usr FROM forms WHERE p_partkey % 4 <> 1 AND coalesce(subscript, static, property) IS NOT NULL),
+wanted AS (SELECT DISTINCT usr, struct, constant, swift_enum, hashable, subscript, static, property FROM forms)
+SELECT w.usr,
+  CASE WHEN e.usr IS NOT NULL THEN 'enum_accessor' WHEN h.usr IS NOT NULL THEN 'hash_accessor' WHEN struct IS NOT NULL THEN 'struct_member'
+       WHEN constant THEN 'constant' WHEN s.usr IS NOT NULL THEN 'subscript' WHEN t.usr IS NOT NULL THEN 'static'
+       WHEN p.usr IS NOT NULL THEN 'property' ELSE 'live_query' END AS matcher,
+  CASE WHEN e.usr IS NOT NULL THEN swift_enum WHEN h.usr IS NOT NULL THEN hashable WHEN struct IS NOT NULL THEN struct
+       WHEN constant THEN NULL WHEN s.usr IS NOT NULL THEN subscript WHEN t.usr IS NOT NULL THEN static
+       WHEN p.usr IS NOT NULL THEN property END AS through,
+  CASE WHEN e.usr IS NOT NULL THEN 'nonisolated' WHEN h.usr IS NOT NULL THEN NULL WHEN struct IS NOT NULL OR constant THEN 'nonisolated'
+       WHEN coalesce(s.usr, t.usr, p.usr) IS NOT NULL THEN 'globalActor(MainActor)' END AS isolation
+FROM wanted w LEFT JOIN known e ON e.usr = swift_enum LEFT JOIN known h ON h.usr = hashable
+LEFT JOIN bulk s ON s.usr = subscript LEFT JOIN bulk t ON t.usr = static LEFT JOIN bulk p ON p.usr = property""",
+    "sibling_alias": f"""WITH {ctes("mangled")} SELECT usr, 's:5MoyaX' || substr(usr, 8) AS sibling FROM mangled WHERE p_partkey % 9 = 3""",
+    "inherit_chain": f"""WITH RECURSIVE {ctes("declaration")}, {_CHAIN} SELECT usr, chain_isolation FROM chain""",
+    "bulk_lookup": f"""WITH RECURSIVE {ctes("declaration", "call_edge")}, {_CHAIN}
+SELECT DISTINCT d.usr, coalesce(explicit_isolation, CASE WHEN chain_isolation LIKE 'globalActor(%' THEN chain_isolation END, 'nonisolated') AS isolation
+FROM declaration d LEFT JOIN chain ON chain.usr = d.superclass_usr WHERE d.usr LIKE 'S%' AND d.usr IN (SELECT callee_usr FROM call_edge)""",
+    "claim_once": f"""WITH {ctes("declaration")}, wanted AS (
+  SELECT 'superclass' AS kind, superclass_usr AS target, CAST(is_nested_type AS INT) AS tier, file, line, col, usr FROM declaration
+  WHERE explicit_isolation IS NULL AND enclosing_extension_isolation IS NULL AND superclass_usr IS NOT NULL
+  UNION ALL SELECT 'container', containing_type_usr, CAST(is_static_member AS INT), file, line, col, usr FROM declaration
+  WHERE explicit_isolation IS NULL AND enclosing_extension_isolation IS NULL AND containing_type_usr IS NOT NULL)
+SELECT kind, target, usr, tier FROM (SELECT *, row_number() OVER (PARTITION BY kind, target ORDER BY tier, file, line, col, usr) AS nth FROM wanted) WHERE nth = 1""",
+    "pair_fanout": f"""WITH {ctes("conformance", "declaration")}
+SELECT c.usr, idx, protocol_usr, coalesce(protocol_global_actor_name, CASE WHEN n.usr IS NOT NULL THEN 'MainActor' END) AS protocol_global_actor_name,
+  same_file_as_primary, same_context_as_witness
+FROM conformance c LEFT JOIN declaration d ON d.usr = c.usr
+LEFT JOIN declaration n ON n.usr LIKE 'N%' AND n.usr = coalesce(d.containing_type_usr, c.usr) AND protocol_usr = 'Q' || CAST(n.ord % 7 AS STRING)""",
+    "unknown_propagation": f"""WITH {ctes("declaration")}, failed AS (
+  SELECT usr FROM declaration WHERE usr LIKE 'C%' AND ord % 19 = 0 OR usr LIKE 'N%' AND ord % 6 = 0)
+SELECT usr FROM failed UNION SELECT usr FROM declaration WHERE containing_type_usr IN (SELECT usr FROM failed)""",
+    "overlay_merge": f"""WITH {ctes("declaration")}, base AS (
+  SELECT usr, CASE WHEN ord % 7 = 0 THEN 'globalActor(Updated)' ELSE explicit_isolation END AS explicit_isolation,
+         CASE WHEN ord % 5 <> 0 THEN file END AS file, ord FROM declaration)
+SELECT usr, CASE WHEN file IS NULL AND ord % 3 = 0 THEN 'globalActor(Backfilled)' ELSE explicit_isolation END AS explicit_isolation, file FROM base
+UNION ALL SELECT 'new' || usr, 'globalActor(Backfilled)', NULL FROM base WHERE ord % 6 = 0""",
+    "manifest_diff": f"""WITH {ctes("manifest_old", "manifest_new")}
+SELECT coalesce(o.file, n.file) AS file, CASE WHEN o.file IS NULL THEN 'added' WHEN n.file IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM manifest_old o FULL JOIN manifest_new n ON n.file = o.file WHERE o.content_hash IS DISTINCT FROM n.content_hash""",
+    "balanced_chunks": f"""WITH {ctes("call_edge")}, ranked AS (
+  SELECT file, dense_rank() OVER (ORDER BY file) - 1 AS place, (SELECT count(DISTINCT file) FROM call_edge) AS n FROM call_edge)
+SELECT least(7, place // greatest(1, n // 8))::INT AS chunk, count(DISTINCT file)::BIGINT AS files, count(*)::BIGINT AS items FROM ranked GROUP BY 1""",
+    "closest_name": """WITH wanted AS (SELECT substr(n_name, 2) || 'x' AS requested FROM nation), pairs AS (
+  SELECT requested, n_name AS name, levenshtein(requested, n_name) AS distance FROM wanted, nation),
+best AS (SELECT *, row_number() OVER (PARTITION BY requested ORDER BY distance, name) AS nth FROM pairs)
+SELECT requested, CASE WHEN distance <= greatest(1, length(requested) // 3) THEN name END AS suggestion FROM best WHERE nth = 1""",
 }
