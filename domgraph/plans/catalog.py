@@ -317,3 +317,110 @@ def dot_lines(spark, sf_dir):
     resolved = _resolved(spark, sf_dir)
     edges = _edges(spark, sf_dir, resolved)
     return sinks.dot_lines(report.nodes(fact(spark, sf_dir, "declaration"), resolved, edges), edges)
+
+
+@query
+def scope_filter(spark, sf_dir):
+    """Definitions in scope, each record counted in its first module."""
+    occurrences = fact(spark, sf_dir, "occurrence")
+    return link.definitions(link.in_scope(link.once_per_record(occurrences), ["M1", "M3"]))
+
+
+@query
+def call_projection(spark, sf_dir):
+    """Call occurrences with their caller."""
+    return link.calls(*_facts(spark, sf_dir, "occurrence", "relation"))
+
+
+@query
+def extended_type(spark, sf_dir):
+    """Members of extensions and the types these extend."""
+    return link.extended_type(fact(spark, sf_dir, "relation"))
+
+
+@query
+def conformance_actor(spark, sf_dir):
+    """Actors of placeholder protocols filled in."""
+    conformances = fact(spark, sf_dir, "conformance").withColumn("protocol_usr", F.concat(F.lit(link.PLACEHOLDER), "protocol_usr"))
+    wholes = spark.sql("SELECT 'Q1' AS protocol, 'DataActor' AS actor UNION ALL SELECT 'Q4', 'IndexActor'")
+    ones = spark.sql("SELECT 'Q2' AS protocol, 'run' AS requirement, 'MainActor' AS actor UNION ALL SELECT 'Q5', 'stop', 'DataActor'")
+    names = conformances.select("usr").distinct().withColumn("name", F.when(F.col("usr").endswith("1"), "run").otherwise("stop"))
+    return link.backfill_conformance_actor(conformances, wholes, ones, names)
+
+
+@query
+def demangled_sibling(spark, sf_dir):
+    """Callees and the only declaration of the same demangled signature."""
+    parts = fact(spark, sf_dir, "mangled").select("p_partkey", "usr")
+    number = (F.col("p_partkey") % 300).cast("string")
+    wanted = parts.where("p_partkey % 4 = 0").select("usr", F.concat(F.lit("ModA.Type"), number, F.lit(".run() -> ()")).alias("demangled"))
+    known = parts.where("p_partkey % 3 = 0").select(F.concat(F.lit("d"), "usr").alias("usr"), F.concat(F.lit("ModB.Type"), (F.col("p_partkey") % 500).cast("string"), F.lit(".run() -> ()")).alias("demangled"))
+    return backfill.demangled_sibling(wanted, known)
+
+
+@query
+def external_needs(spark, sf_dir):
+    """Parents that neither a located declaration nor a fact answers."""
+    declarations, conformances = _facts(spark, sf_dir, "declaration", "conformance")
+    placed = declarations.withColumn("file", F.when(F.col("ord") % 4 != 0, F.col("file")))
+    found = declarations.where("ord % 8 = 0").select("usr")
+    return backfill.needs(placed, conformances, found)
+
+
+@query
+def query_outcomes(spark, sf_dir):
+    """Queried symbols settled by the cache, by an answer, or unknown."""
+    parts = fact(spark, sf_dir, "declaration").where("usr LIKE 'P%'")
+    cache = parts.where("ord % 3 = 0").select("usr", F.lit("nonisolated").alias("isolation"))
+    answers = parts.where("ord % 2 = 0").select(F.col("usr").alias("target_usr"), F.lit("globalActor(MainActor)").alias("isolation"))
+    return backfill.outcomes(parts.select("usr"), cache, answers)
+
+
+@query
+def merged_modules(spark, sf_dir):
+    """Verdicts of the last module, protocols of any."""
+    bulk = fact(spark, sf_dir, "declaration").where("usr LIKE 'O%'").select(
+        F.concat(F.lit("u"), (F.col("ord") % 700).cast("string")).alias("usr"),
+        F.concat(F.lit("globalActor(A"), (F.col("ord") % 9).cast("string"), F.lit(")")).alias("isolation"),
+        (F.col("ord") % 50 == 0).alias("is_protocol"),
+        F.col("ord").alias("module_ord"),
+    )
+    return backfill.merge_modules(bulk)
+
+
+@query
+def statistics_delta(spark, sf_dir):
+    """A10: change of counts by kind."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("kind"), "event_id")
+    before = events.where("event_id % 3 = 0 AND kind <> 'click'").groupBy("kind").agg(F.count("*").alias("n"))
+    after = events.where("event_id % 5 = 0 AND kind <> 'view'").groupBy("kind").agg(F.count("*").alias("n"))
+    return staleness.statistics_delta(before, after)
+
+
+@query
+def preferred_arguments(spark, sf_dir):
+    """Arguments of the target that the path names, else the first."""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(
+        F.concat(F.lit("src/T"), (F.col("p_partkey") % 6).cast("string"), F.lit("/f"), (F.col("p_partkey") % 101).cast("string")).alias("file"),
+        F.concat(F.lit("T"), (F.col("p_partkey") % 8).cast("string")).alias("target"),
+        F.col("p_partkey").alias("ordinal"),
+        F.concat(F.lit("-a"), F.col("p_partkey").cast("string")).alias("args"),
+    )
+    return staleness.preferred_arguments(rows)
+
+
+@query
+def sanitized_arguments(spark, sf_dir):
+    """Arguments without front-end flags and their values."""
+    flags = F.array(F.when(F.col("p_partkey") % 2 == 0, "-frontend").otherwise("-c"), F.when(F.col("p_partkey") % 3 == 0, "-working-directory").otherwise("-O"), F.col("p_brand"), F.lit("-g"))
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", flags.alias("args"))
+    return rows.select("p_partkey", F.array_join(staleness.sanitized("args"), " ").alias("args"))
+
+
+@query
+def module_eligibility(spark, sf_dir):
+    """Whether a declaration takes the module's default."""
+    kinds = F.when(F.col("p_size") % 4 == 0, "typealias").when(F.col("p_size") % 4 == 1, "accessor").otherwise("function")
+    bound = F.array(F.when(F.col("p_size") % 5 == 0, "Sendable").otherwise("Equatable"))
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return rows.select("p_partkey", staleness.default_eligible(kinds, F.col("p_size") % 7 == 0, bound).alias("eligible"))

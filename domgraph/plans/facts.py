@@ -134,6 +134,12 @@ FACTS: dict[str, str] = {
     "protocol_parent": f"""
         SELECT {_key("Q", "p_partkey")} AS protocol, {_key("Q", _half("p_partkey"))} AS parent FROM part WHERE p_partkey BETWEEN 1 AND 400
         UNION ALL SELECT 'Q1', 'Q7'""",
+    "occurrence": f"""
+        SELECT {_key("O", "l_orderkey")} AS usr, {_key("order", "l_orderkey")} AS name,
+               CAST(CASE WHEN l_partkey % 3 = 0 THEN 2 WHEN l_partkey % 3 = 1 THEN 32 ELSE 34 END AS BIGINT) AS roles,
+               {_key("F", "l_orderkey % 97")} AS file, CAST(l_linenumber * 10 AS INT) AS line, CAST(l_partkey % 80 + 1 AS INT) AS col,
+               {_key("M", "l_suppkey % 5")} AS module, l_suppkey % 11 = 0 AS is_system, {_key("rec", "l_orderkey % 1000")} AS record
+        FROM lineitem""",
     # Relations of occurrences: accessors of properties, calls, bases, extensions.
     "relation": f"""
         SELECT {_key("O", "o_orderkey")} AS usr, CAST(32768 AS BIGINT) AS role, {_key("V", "o_custkey % 50")} AS target_usr,
@@ -146,7 +152,16 @@ FACTS: dict[str, str] = {
         FROM orders WHERE o_orderkey % 6 = 0
         UNION ALL
         SELECT {_key("N", "c_nationkey")}, 1024, {_key("s:B", "c_custkey % 40")}, {_key("B", "c_custkey % 33")}, 4, CAST(c_custkey AS INT)
-        FROM customer WHERE c_custkey % 2 = 0""",
+        FROM customer WHERE c_custkey % 2 = 0
+        UNION ALL
+        SELECT {_key("O", "o_orderkey")}, 8192, {_key("C", "o_custkey")}, {_key("c", "o_custkey")}, 4, CAST(o_custkey % 10 AS INT)
+        FROM orders WHERE o_orderkey % 4 = 1
+        UNION ALL
+        SELECT {_key("O", "o_orderkey")}, 512, {_key("E", "o_custkey % 90")}, {_key("e", "o_custkey % 90")}, 4, CAST(o_custkey % 10 AS INT)
+        FROM orders WHERE o_orderkey % 5 = 2
+        UNION ALL
+        SELECT {_key("N", "c_nationkey")}, 16384, {_key("E", "c_custkey")}, {_key("e", "c_custkey")}, 4, 0
+        FROM customer WHERE c_custkey < 70""",
     "mangled": f"""
         SELECT p_partkey, CASE p_partkey % 9
           WHEN 0 THEN 's:So6CGSizeV' || CAST(length(nm) AS STRING) || nm || '14CoreFoundation7CGFloatVvg'

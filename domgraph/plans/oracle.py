@@ -264,4 +264,45 @@ SELECT least(7, place // greatest(1, n // 8))::INT AS chunk, count(DISTINCT file
   SELECT requested, n_name AS name, levenshtein(requested, n_name) AS distance FROM wanted, nation),
 best AS (SELECT *, row_number() OVER (PARTITION BY requested ORDER BY distance, name) AS nth FROM pairs)
 SELECT requested, CASE WHEN distance <= greatest(1, length(requested) // 3) THEN name END AS suggestion FROM best WHERE nth = 1""",
+    "scope_filter": f"""WITH {ctes("occurrence")}, firsts AS (SELECT record, min(module) AS module FROM occurrence GROUP BY record)
+SELECT usr, name, file, line, col FROM occurrence o JOIN firsts f ON f.record = o.record AND f.module = o.module
+WHERE (is_system OR o.module IN ('M1', 'M3')) AND roles & 2 <> 0""",
+    "call_projection": f"""WITH {ctes("occurrence", "relation")}
+SELECT arg_min(target_usr, ordinal) AS caller_usr, o.usr AS callee_usr, file, line, col
+FROM (SELECT *, row_number() OVER () AS n FROM occurrence WHERE roles & 32 <> 0) o JOIN relation r ON r.usr = o.usr AND role = 8192
+GROUP BY n, o.usr, file, line, col""",
+    "extended_type": f"""WITH {ctes("relation")}, child AS (SELECT usr, arg_min(target_usr, ordinal) AS extension FROM relation WHERE role = 512 GROUP BY usr),
+extended AS (SELECT target_usr AS extension, min(usr) AS type_usr FROM relation WHERE role = 16384 GROUP BY target_usr)
+SELECT usr AS member, type_usr FROM child JOIN extended USING (extension)""",
+    "conformance_actor": f"""WITH {ctes("conformance")}
+SELECT usr, idx, 'syntactic:' || protocol_usr AS protocol_usr, coalesce(protocol_global_actor_name,
+    CASE WHEN protocol_usr = 'Q1' THEN 'DataActor' WHEN protocol_usr = 'Q4' THEN 'IndexActor'
+         WHEN protocol_usr = 'Q2' AND usr LIKE '%1' THEN 'MainActor' WHEN protocol_usr = 'Q5' AND usr NOT LIKE '%1' THEN 'DataActor' END) AS protocol_global_actor_name,
+  same_file_as_primary, same_context_as_witness
+FROM conformance""",
+    "demangled_sibling": f"""WITH {ctes("mangled")}, known AS (
+  SELECT p_partkey % 500 AS n, min('d' || usr) AS sibling FROM mangled WHERE p_partkey % 3 = 0 GROUP BY 1 HAVING count(*) = 1)
+SELECT usr, sibling FROM mangled JOIN known ON n = p_partkey % 300 WHERE p_partkey % 4 = 0""",
+    "external_needs": f"""WITH {ctes("declaration", "conformance")}, open AS (
+  SELECT * FROM declaration WHERE explicit_isolation IS NULL AND enclosing_extension_isolation IS NULL),
+have AS (SELECT usr FROM declaration WHERE ord % 4 <> 0 OR ord % 8 = 0)
+SELECT usr, 'superclass' AS kind, superclass_usr AS target, NULL AS pair_of FROM open WHERE superclass_usr IS NOT NULL AND superclass_usr NOT IN (SELECT usr FROM have)
+UNION ALL SELECT usr, 'container', containing_type_usr, NULL FROM open WHERE containing_type_usr IS NOT NULL AND containing_type_usr NOT IN (SELECT usr FROM have)
+UNION ALL SELECT c.usr, 'pair', protocol_usr, coalesce(containing_type_usr, c.usr) FROM conformance c JOIN open o ON o.usr = c.usr
+WHERE protocol_global_actor_name IS NULL""",
+    "query_outcomes": f"""WITH {ctes("declaration")}
+SELECT usr, CASE WHEN ord % 3 = 0 THEN 'nonisolated' WHEN ord % 2 = 0 THEN 'globalActor(MainActor)' END AS isolation, ord % 3 <> 0 AND ord % 2 <> 0 AS is_unknown
+FROM declaration WHERE usr LIKE 'P%'""",
+    "merged_modules": """SELECT 'u' || CAST(o_orderkey % 700 AS STRING) AS usr, 'globalActor(A' || CAST(max(o_orderkey) % 9 AS STRING) || ')' AS isolation,
+  bool_or(o_orderkey % 50 = 0) AS is_protocol FROM orders GROUP BY o_orderkey % 700""",
+    "statistics_delta": """WITH a AS (SELECT event_type AS kind, count(*) AS n FROM events WHERE event_id % 3 = 0 AND event_type <> 'click' GROUP BY 1),
+b AS (SELECT event_type AS kind, count(*) AS n FROM events WHERE event_id % 5 = 0 AND event_type <> 'view' GROUP BY 1)
+SELECT coalesce(a.kind, b.kind) AS kind, (coalesce(b.n, 0) - coalesce(a.n, 0))::BIGINT AS delta FROM a FULL JOIN b ON a.kind = b.kind""",
+    "preferred_arguments": """WITH rows AS (SELECT 'src/T' || CAST(p_partkey % 6 AS STRING) || '/f' || CAST(p_partkey % 101 AS STRING) AS file,
+  'T' || CAST(p_partkey % 8 AS STRING) AS target, p_partkey AS ordinal, '-a' || CAST(p_partkey AS STRING) AS args FROM part),
+flagged AS (SELECT *, string_split(file, '/')[2] = target AS inside FROM rows)
+SELECT file, CASE WHEN count(*) FILTER (inside) = 1 THEN arg_min(args, ordinal) FILTER (inside) ELSE arg_min(args, ordinal) END AS args FROM flagged GROUP BY file""",
+    "sanitized_arguments": """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '-c ' END
+  || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '-O ' || p_brand || ' ' END || '-g' AS args FROM part""",
+    "module_eligibility": """SELECT p_partkey, p_size % 4 NOT IN (0, 1) AND p_size % 7 <> 0 AND p_size % 5 <> 0 AS eligible FROM part""",
 }
