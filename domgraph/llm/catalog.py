@@ -93,7 +93,47 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_span_dedup": op10_span_dedup,
 }
+
+def _matches_sql(pattern: str, group: int, rank: int) -> str:
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    return f"""SELECT rn, {rank} AS rank, string_split_regex(text, {quoted}) AS pieces, regexp_extract_all(text, {quoted}, 0) AS found,
+    regexp_extract_all(text, {quoted}, {group}) AS vals FROM texts"""
+
+
+_SECRETS_SQL = f"""
+WITH texts AS MATERIALIZED (
+  SELECT row_number() OVER () AS rn, doc_id, source, coalesce(text, '') AS text FROM documents
+), cut AS (
+  {_matches_sql(secrets.ASSIGN, 2, 0)} UNION ALL {_matches_sql(secrets.ACCESS, 0, 1)}
+  UNION ALL {_matches_sql(secrets.HEX, 0, 2)} UNION ALL {_matches_sql(secrets.LONG, 0, 3)}
+), numbered AS (SELECT *, unnest(range(1, len(found) + 1)) AS k FROM cut WHERE len(found) > 0
+), placed AS (
+  SELECT rn, rank, vals[k] AS value, length(found[k]) AS size,
+    list_sum(list_transform(pieces[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:k - 1], lambda x: length(x))), 0) AS start
+  FROM numbered
+), spans AS MATERIALIZED (
+  SELECT rn, rank, start::BIGINT AS start, (start + size)::BIGINT AS stop, value FROM placed
+  WHERE rank IN (1, 2) OR rank = 0 AND length(value) >= {secrets.ASSIGN_LEAST}
+     OR rank = 3 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')
+), candidates AS MATERIALIZED (
+  SELECT * FROM spans s WHERE rank < 3
+     OR NOT EXISTS (SELECT 1 FROM spans b WHERE b.rank < 3 AND b.rn = s.rn AND b.start < s.stop AND s.start < b.stop)
+), counted AS (
+  SELECT value, count(DISTINCT coalesce(source, chr(0))) AS n_owners, count(DISTINCT (coalesce(source, chr(0)), coalesce(doc_id::VARCHAR, ''))) AS n_repositories
+  FROM candidates JOIN texts USING (rn) GROUP BY value
+), judged AS (
+  SELECT c.*, n_owners <= 1 AND n_repositories <= 3 AS live, ['assign', 'access', 'hex', 'owned'][rank + 1] || ':' || start || ':' || stop AS said
+  FROM candidates c JOIN counted USING (value)
+)
+SELECT any_value(t.doc_id) AS doc_id, coalesce(count_if(rank = 0), 0)::BIGINT AS n_assign, coalesce(count_if(rank = 1), 0)::BIGINT AS n_access, coalesce(count_if(rank = 2), 0)::BIGINT AS n_hex,
+  sha256(coalesce(string_agg(said, ',' ORDER BY start, rank) FILTER (rank < 3), '')) AS base_sha256,
+  coalesce(string_agg(said, ',' ORDER BY start, rank) FILTER (rank < 3 OR live), '') AS spans,
+  coalesce(count_if(rank = 3 AND live), 0)::BIGINT AS n_owned, coalesce(count_if(live), 0)::BIGINT AS n_live, coalesce(count_if(NOT live), 0)::BIGINT AS n_copied
+FROM texts t LEFT JOIN judged j ON j.rn = t.rn GROUP BY t.rn
+"""
+
 ORACLES: dict[str, str] = {
+    "op3_secrets": _SECRETS_SQL,
     # A source's blocks are taken in turn, so its words are taken whole rounds and then from the first on.
     "op4_mixture": r"""
 WITH sized AS (
