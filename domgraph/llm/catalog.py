@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from domgraph.llm import decontaminate, langid, line_dedup, media, mixture, secrets, simhash, span_dedup, token_output, toxicity
+from domgraph.llm import decontaminate, langid, line_dedup, media, mixture, scratch, secrets, simhash, span_dedup, token_output, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -15,6 +15,7 @@ TOXIC_FROM = 0.3
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from domgraph.llm import hashing
 
 _SEPARATOR = 0x110000
-_CHUNK_CHARS = 1 << 20
+_CHUNK_CHARS = 256 << 10
 _BITMAP_BITS = 22
 _HIT_SCHEMA = "item_id bigint, start bigint, end bigint, edits int, item_chars int"
 

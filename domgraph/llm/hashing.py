@@ -60,7 +60,7 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def chunks(batch: Iterable[tuple], text_at: int, most_bytes: int = 2 << 20) -> Iterator[list[tuple]]:
+def chunks(batch: Iterable[tuple], text_at: int, most_bytes: int = 512 << 10) -> Iterator[list[tuple]]:
     """Rows in lists whose texts have about so many bytes together, or one longer text alone."""
     held: list[tuple] = []
     size = 0

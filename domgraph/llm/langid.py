@@ -42,7 +42,7 @@ FAMILIES = {
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 _SIZES = (2, 3, 4)
 _BITS = 13
-_WINDOW = 1 << 20
+_WINDOW = 256 << 10
 #: Largest model that is broadcast: machines times features.
 _MOST_WEIGHTS = 64 << 20
 UNDETERMINED = "und"
@@ -136,7 +136,7 @@ class Model:
         found = sorted((m for m in machines if m[0] != "language"), key=lambda m: m[:3])
         self.keys = [m[:3] for m in found]
         self.bias = np.array([m[3] for m in found])
-        self.weights = np.array([m[4] for m in found], np.float32).reshape(len(found), -1).T.copy()
+        self.weights = np.array([m[4] for m in found], np.float32).reshape(len(found), 1 << _BITS).T.copy()
         if self.weights.size > _MOST_WEIGHTS:
             raise ValueError("too many machines to broadcast")
         self.names = sorted({family(x) for x in self.langs})

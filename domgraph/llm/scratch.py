@@ -24,6 +24,13 @@ def base_dir(spark: SparkSession) -> str:
 
 
 _OWN: dict[str, str] = {}
+_ROWS_IN_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand whole texts to Python workers a thousand rows at a time, not ten: their memory is what executors have least of."""
+    if int(spark.conf.get(_ROWS_IN_BATCH)) > rows:
+        spark.conf.set(_ROWS_IN_BATCH, str(rows))
 
 
 def new_path(spark: SparkSession, label: str) -> str:

@@ -35,7 +35,7 @@ _PIECE = re.compile(
 )
 _NOT_PLAIN = re.compile("[^\t\n\r -~¡-ɏ]")
 #: A worker forgets its pieces beyond this many; they are only a cache of what the tokenizer says.
-_MOST_PIECES = 1_200_000
+_MOST_PIECES = 600_000
 #: Largest tokenizer file that is sent to executors.
 _MOST_TOKENIZER_BYTES = 64 << 20
 
@@ -86,7 +86,7 @@ def _encoder(spec: str) -> Encoder:
 
 
 _WRITTEN = "part int, doc_id bigint, source string, offset bigint, n_tokens bigint, ids array<int>"
-_FLUSH_BYTES = 8 << 20
+_FLUSH_BYTES = 4 << 20
 
 
 def _encode_partitions(spec, end_id: int):
