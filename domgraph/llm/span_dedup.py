@@ -6,8 +6,9 @@ has `least_words` words is hashed, and so is the shortest such run that ends wit
 as many words is therefore covered whole by runs inside it. A run is at least two sentences, unless one alone has twice
 as many words. Words compare with A-Z in lower case and white space between them ignored.
 
-Every run's hash is joined across the corpus: the first holder (smallest doc_id, then the earliest run) keeps it, and all
-sentences that any other holder's run covers are removed. Hashes are combined before they are shuffled, and the rows of
+Every run's hash is joined across the corpus, once a document: the first holder (smallest doc_id) keeps its earliest run, and
+all sentences that any other run covers are removed. A run that has an equal one earlier in its own text is never the
+first, so such runs are found where the text is and are not shuffled. Hashes are combined before they are shuffled, and the rows of
 repeated hashes are found by a plain join, which Spark may split where a passage is in a third of all documents.
 
 Defined results: null and empty texts have no sentences and keep their (empty) text; texts under `least_words` are left alone;
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from domgraph.llm import hashing
+from domgraph.llm import hashing, scratch
 
 _LAST = 2**63 - 1
 _SPANS = "doc bigint, version bigint, start int, n int, h1 bigint, h2 bigint"
@@ -87,12 +88,24 @@ def spans(texts: list[str], least_words: int) -> tuple[np.ndarray, ...]:
     return owner[a], a - lowest[a], b - a + 1, hashed[0], hashed[1]
 
 
+def _later_in_text(row: np.ndarray, start: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Which runs have an equal one earlier in their own text."""
+    order = np.lexsort((start, h2, h1, row))
+    same = np.zeros(len(order), bool)
+    same[1:] = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (row, h1, h2)]) if len(order) else False
+    later = np.zeros(len(order), bool)
+    later[order] = same
+    return later
+
+
 def _spans(least_words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [batch.column(k).to_numpy() for k in (0, 1)]
             for part in hashing.chunks(enumerate(x.as_py() for x in batch.column(2)), 1):
                 row, start, n, h1, h2 = spans([t for _, t in part], least_words)
+                first = ~_later_in_text(row, start, h1, h2)
+                row, start, n, h1, h2 = (x[first] for x in (row, start, n, h1, h2))
                 row = row + part[0][0]
                 columns = [pa.array(x[row]) for x in ids] + [pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h1), pa.array(h2)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc", "version", "start", "n", "h1", "h2"])
@@ -105,37 +118,58 @@ def sentence_bounds(text: str) -> list[tuple[int, int]]:
     data = np.frombuffer(text.encode("utf-8", "surrogatepass") + b"\n", np.uint8)
     starts, _, begins = _starts(data)
     cuts = starts[begins].tolist()
-    return list(zip(cuts, [*cuts[1:], len(data) - 1], strict=True))
-
-
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: list[tuple] = []
-        for text, repeated in zip(batch.column(1), batch.column(2), strict=True):
-            text, repeated = text.as_py(), repeated.as_py()
-            bounds = sentence_bounds(text)
-            gone = np.zeros(len(bounds) + 1, np.int64)
-            for x in repeated or ():
-                gone[x["start"]] += 1
-                gone[x["start"] + x["n"]] -= 1
-            covered = np.cumsum(gone)[:-1] > 0
-            encoded, keep, taken = text.encode("utf-8", "surrogatepass"), [], []
-            at = 0
-            for a, b in zip(*hashing.runs(covered), strict=True):
-                a, b = bounds[a][0], bounds[b - 1][1]
-                keep.append(encoded[at:a])
-                taken.append((len(encoded[:a].decode("utf-8", "surrogatepass")), len(encoded[:b].decode("utf-8", "surrogatepass"))))
-                at = b
-            keep.append(encoded[at:])
-            out.append((len(bounds), int(covered.sum()), ",".join(f"{a}:{b}" for a, b in taken), b"".join(keep).decode("utf-8", "surrogatepass")))
-        columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_sentences", "n_removed", "removed", "text"])
-
-
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _remove(batches):
-        kept = [hashlib.sha256(x.as_py().encode("utf-8", "surrogatepass")).hexdigest() for x in batch.column(4)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(kept)], ["doc_id", "n_sentences", "n_removed", "removed", "kept_sha256"])
+    return list(zip(cuts, [*cuts[1:], len(data) - 1], strict=True)) if cuts else []
+
+
+def _remove(least_words: int, changed_only: bool) -> Callable:
+    def one(text: str, repeated: list[tuple[int, int]]) -> tuple[int, int, str, str]:
+        bounds = sentence_bounds(text)
+        gone = np.zeros(len(bounds) + 1, np.int64)
+        for start, n in repeated:
+            gone[start] += 1
+            gone[start + n] -= 1
+        covered = np.cumsum(gone)[:-1] > 0
+        encoded, keep, taken, at = text.encode("utf-8", "surrogatepass"), [], [], 0
+        points = lambda k: len(encoded[:k].decode("utf-8", "surrogatepass"))
+        for a, b in zip(*hashing.runs(covered), strict=True):
+            a, b = bounds[a][0], bounds[b - 1][1]
+            keep.append(encoded[at:a])
+            taken.append(f"{points(a)}:{points(b)}")
+            at = b
+        keep.append(encoded[at:])
+        return len(bounds), int(covered.sum()), ",".join(taken), b"".join(keep).decode("utf-8", "surrogatepass")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[(x["start"], x["n"]) for x in r.as_py() or ()] for r in batch.column(2)]
+            out: list[tuple] = []
+            kept: list[int] = []
+            for part in hashing.chunks(enumerate(x.as_py() for x in batch.column(1)), 1):
+                row, start, n, h1, h2 = spans([t for _, t in part], least_words)
+                later = _later_in_text(row, start, h1, h2)
+                for r, a, k in zip(row[later].tolist(), start[later].tolist(), n[later].tolist(), strict=True):
+                    found[part[0][0] + r].append((a, k))
+                for k, text in part:
+                    if found[k] or not changed_only:
+                        kept.append(k)
+                        out.append(one(text, found[k]))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+                columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)]
+                ids = batch.column(0).take(pa.array(kept, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", "n_sentences", "n_removed", "removed", "text"])
+
+    return run
+
+
+def _digest(remove: Callable) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in remove(batches):
+            kept = [hashlib.sha256(x.as_py().encode("utf-8", "surrogatepass")).hexdigest() for x in batch.column(4)]
+            names = ["doc_id", "n_sentences", "n_removed", "removed", "kept_sha256"]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(kept)], names)
+
+    return run
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -148,11 +182,12 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, least_words: int) -> DataFrame:
-    """doc, version, start, n: runs of sentences whose hash has an earlier holder."""
+    """doc, version, start, n: runs of sentences whose hash an earlier document holds, each hash once a document."""
     every = _identified(docs).select("doc", "version", "text").mapInArrow(_spans(least_words), _SPANS)
     holder = F.struct("doc", "version", "start")
     firsts = every.groupBy("h1", "h2").agg(F.min(holder).alias("first"), F.max(holder).alias("last"))
-    firsts = firsts.where("first < last").select("h1", "h2", "first")
+    # Written before the join, so that it is a plain one of two shuffled tables, which Spark can split.
+    firsts = scratch.table(firsts.where("first < last").select("h1", "h2", "first"), "repeated-spans")
     return every.join(firsts, ["h1", "h2"]).where(holder != F.col("first")).select("doc", "version", "start", "n")
 
 
@@ -162,9 +197,10 @@ def dedup(docs: DataFrame, *, least_words: int = 25, changed_only: bool = False,
     changed_only: leave out the documents that lose nothing. digest: kept_sha256 in place of text.
     """
     runs = repeated_spans(docs, least_words).groupBy("doc", "version").agg(F.collect_list(F.struct("start", "n")).alias("repeated"))
-    joined = _identified(docs).join(runs, ["doc", "version"], "inner" if changed_only else "left").select("doc_id", "text", "repeated")
+    joined = _identified(docs).join(runs, ["doc", "version"], "left").select("doc_id", "text", "repeated")
     kind = dict(docs.dtypes)["doc_id"]
     found = f"doc_id {kind}, n_sentences bigint, n_removed bigint, removed string"
+    remove = _remove(least_words, changed_only)
     if digest:
-        return joined.mapInArrow(_digest, f"{found}, kept_sha256 string")
-    return joined.mapInArrow(_remove, f"{found}, text string")
+        return joined.mapInArrow(_digest(remove), f"{found}, kept_sha256 string")
+    return joined.mapInArrow(remove, f"{found}, text string")
