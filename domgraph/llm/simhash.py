@@ -255,6 +255,8 @@ def components(fps: DataFrame, budget: int = 2) -> DataFrame:
     nodes = scratch.table(fps.groupBy("fp").agg(F.min(F.coalesce("doc_id", last)).alias("least")), "nodes")
     labels = smallest_reachable(nodes, links(nodes.select("fp"), budget))
     final = nodes.join(labels, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    # Written before the join, so that it is a plain one of two shuffled tables, which Spark can split.
+    final = scratch.table(final, "final")
     return fps.join(final, "fp").select("doc_id", "fp", F.nullif("component_id", last).alias("component_id"))
 
 
