@@ -300,8 +300,11 @@ def slice_fingerprints(hashes: np.ndarray, slices: int, shingles: int) -> list[i
 def _slices(words_in_shingle: int, slices: int, shingles: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [slice_fingerprints(h, slices, shingles) for h in (_shingles(x.as_py(), words_in_shingle) for x in batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "slices"])
+            hashes = [_shingles(x.as_py(), words_in_shingle) for x in batch.column(1)]
+            # A text without shingles is like no other, so it meets none.
+            found = [slice_fingerprints(h, slices, shingles) if len(h) else [] for h in hashes]
+            columns = [batch.column(0), pa.array([len(h) for h in hashes], pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "shingles", "slices"])
 
     return run
 
@@ -319,24 +322,112 @@ def _similar(words_in_shingle: int, similarity: float):
     return run
 
 
-def similar_links(texts: DataFrame, *, words_in_shingle: int, similarity: float, slices: int, shingles: int) -> DataFrame:
-    """Links (a, b) between the nodes of texts (node, text: distinct texts) of at least the similarity.
+def _hashes(words_in_shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_shingles(x.as_py(), words_in_shingle).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "hashes"])
+
+    return run
+
+
+def links_between(sets: list[np.ndarray], component: np.ndarray, side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links (positions) that join what the pairs of at least the similarity join, beyond the components known already.
+
+    Pairs are those of different sides, or all if there is one side. Each set is held against all others that verified links
+    have not joined to it; the sets of the commonest shingles come first, as they join most.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    shingle = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    holder = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(shingle, kind="stable")
+    holders, ends = holder[order], np.concatenate([[0], np.cumsum(np.bincount(shingle))])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    label = np.unique(component, return_inverse=True)[1]
+    halves = side.min() != side.max()
+    common = np.add.reduceat(np.diff(ends)[shingle], starts[:-1]) / sizes
+    waiting = np.ones(len(sets), bool)
+    found: list[tuple[int, int]] = []
+    for k in np.argsort(-common, kind="stable").tolist():
+        waiting[k] = False
+        others = waiting & (label != label[k])
+        if halves:
+            others &= side != side[k]
+        if not others.any():
+            continue
+        own = shingle[starts[k] : starts[k + 1]]
+        met = np.bincount(np.concatenate([holders[ends[x] : ends[x + 1]] for x in own.tolist()]), minlength=len(sets))
+        alike = np.flatnonzero(others & (met >= similarity * (sizes + sizes[k] - met)))
+        for other in alike.tolist():
+            if label[other] != label[k]:
+                found.append((k, other))
+                label[label == label[other]] = label[k]
+        if (label == label[0]).all():
+            break
+    return found
+
+
+def _links_in_block(similarity: float):
+    def run(block: pa.Table) -> pa.Table:
+        node, component, side = (block.column(c).to_numpy() for c in ("node", "component", "side"))
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in block.column("hashes")]
+        found = np.array(links_between(sets, component, side, similarity), np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(node[found].min(axis=1), pa.int64()), "b": pa.array(node[found].max(axis=1), pa.int64())})
+
+    return run
+
+
+def similar_links(
+    texts: DataFrame, *, words_in_shingle: int, similarity: float, slices: int, shingles: int, block_bytes: int = 4 << 20
+) -> DataFrame:
+    """Links (a, b) between the nodes of texts (node, text: distinct texts) whose components are those of all pairs that meet
+    in a slice and are of at least the similarity.
 
     At a similarity of 0.8 two whole-text fingerprints differ in about 10 of 64 bits, where a trie prunes nothing. So
     the fingerprints are those of slices (a few shingles each, chosen by a hash order of its own), which two texts of
     similarity s share entirely with probability about s ** shingles each: the trie join's budget is zero
-    bits. Each text is compared with the smallest and the largest node of each of its slices, word shingles against word shingles.
+    bits. Word shingles are held against word shingles in two steps. First each text is compared with two nodes of each
+    of its slices, the smallest and the one that meets most texts in all its slices (the original of a group of variants).
+    Then what these links leave in different components of a slice is compared pair by pair, in blocks of about
+    `block_bytes` of shingle hashes, block against block.
     """
-    parts = texts.select("node", "text").mapInArrow(_slices(words_in_shingle, slices, shingles), "node bigint, slices array<bigint>")
-    parts = scratch.table(parts.select("node", F.posexplode("slices").alias("slice", "fp")), "slices")
-    ends = parts.groupBy("slice", "fp").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    met = parts.join(ends, ["slice", "fp"]).select("node", F.explode(F.array("least", "most")).alias("other")).where("node <> other")
+    parts = texts.select("node", "text").mapInArrow(
+        _slices(words_in_shingle, slices, shingles), "node bigint, shingles bigint, slices array<bigint>"
+    )
+    parts = scratch.table(parts.select("node", "shingles", F.posexplode("slices").alias("slice", "fp")), "slices")
+    groups = parts.groupBy("slice", "fp").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1")
+    members = scratch.table(parts.join(groups, ["slice", "fp"]), "members")
+    weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    central = members.where("node <> least").join(weights, "node").groupBy("slice", "fp").agg(F.max_by("node", F.struct("weight", "node")).alias("central"))
+    members = scratch.table(members.join(central, ["slice", "fp"]), "centred")
+    met = members.select("node", F.explode(F.array("least", "central")).alias("other")).where("node <> other")
     pairs = scratch.table(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     known = scratch.table(texts.join(wanted, "node", "left_semi").select("node", "text"), "texts")
     both = pairs.join(known.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(known.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(words_in_shingle, similarity), "a bigint, b bigint")
+    first = both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(words_in_shingle, similarity), "a bigint, b bigint")
+    first = scratch.table(first, "links")
+
+    labels = smallest_reachable(texts.select(F.col("node").alias("fp"), F.col("node").alias("least")), first)
+    labels = labels.select(F.col("fp").alias("node"), "component")
+    inner = members.where("size > 3 AND node <> least AND node <> central").join(labels, "node", "left")
+    inner = inner.select("slice", "fp", "node", "shingles", F.coalesce("component", "node").alias("component"))
+    parted = inner.groupBy("slice", "fp").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.sum("shingles") * 8 / block_bytes).alias("blocks")
+    )
+    inner = inner.join(parted.where("low < high").select("slice", "fp", "blocks"), ["slice", "fp"])
+    inner = scratch.table(inner.withColumn("side", F.expr("pmod(xxhash64(node), blocks)")), "parted")
+    # Each member goes to its own block and to that of every pair of blocks with it.
+    inner = inner.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    inner = inner.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")})
+    left = scratch.table(
+        texts.join(inner.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_hashes(words_in_shingle), "node bigint, hashes binary"),
+        "hashes",
+    )
+    second = inner.join(left, "node").select("slice", "fp", "i", "j", "node", "component", "side", "hashes")
+    second = second.groupBy("slice", "fp", "i", "j").applyInArrow(_links_in_block(similarity), "a bigint, b bigint")
+    return first.unionByName(second)
 
 
 def keep_first(docs: DataFrame, *, words_in_shingle: int = 5, similarity: float = 0.8, slices: int = 24, shingles: int = 4) -> DataFrame:

@@ -119,3 +119,85 @@ def test_keep_first_by_brute_force(request, which, rows):
     got = [r.doc_id for r in kept.select("doc_id").collect()]
     assert {d for d in got if d is not None} == want
     assert got.count(None) == sum(r[0] is None for r in rows)
+
+
+def _brute_components(texts, similarity):
+    sets = [set(simhash._shingles(t, 5).tolist()) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return [find(k) for k in range(len(texts))]
+
+
+def _variants(rng, words, n, replaced):
+    out = []
+    for _ in range(n):
+        copy = list(words)
+        for at in rng.choice(len(copy), replaced, replace=False):
+            copy[at] = f"x{rng.integers(1 << 40)}"
+        out.append(copy)
+    return out
+
+
+def _stars_and_chains():
+    """Originals amid variants that are like them and unlike each other; texts each like the next one only."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for star in range(3):
+        original = [f"s{star}w{k}" for k in range(200)]
+        around = _variants(rng, original, 40, 4)
+        texts += [" ".join(t) for t in [*around[:20], original, *around[20:]]]
+    chain = [f"c{k}" for k in range(200)]
+    for _ in range(40):
+        texts.append(" ".join(chain))
+        (chain,) = _variants(rng, chain, 1, 4)
+    order = rng.permutation(len(texts))
+    return texts[: 3 * 41] + [texts[k] for k in order if k >= 3 * 41]
+
+
+def test_keep_first_of_stars_and_chains(spark):
+    texts = _stars_and_chains()
+    want = _brute_components(texts, 0.8)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id for r in simhash.keep_first(table).collect()} == set(want)
+
+
+def test_large_groups_block_against_block(spark):
+    texts = _stars_and_chains()
+    want = _brute_components(texts, 0.8)
+    table = spark.createDataFrame(list(enumerate(texts)), "node bigint, text string")
+    # Blocks of about three texts; slices of one shingle make large groups.
+    found = simhash.similar_links(table, words_in_shingle=5, similarity=0.8, slices=24, shingles=1, block_bytes=5000).collect()
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for r in found:
+        x, y = find(r.a), find(r.b)
+        parent[max(x, y)] = min(x, y)
+    assert [find(k) for k in range(len(texts))] == want
+
+
+def test_links_between_equal_all_pairs():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.choice(16, 12).astype(np.uint64)) for _ in range(80)]
+    like = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.6 * len(np.union1d(sets[a], sets[b]))
+    for side in (np.zeros(80, int), np.arange(80) % 2):
+        pairs = [(a, b) for a in range(80) for b in range(a) if like(a, b) and (side[a] != side[b] or not side.any())]
+        found = simhash.links_between(sets, np.arange(80), side, 0.6)
+        assert found and all(like(a, b) for a, b in found)
+        one, all_ = (dict(zip(*(x.tolist() for x in simhash.forest(np.array([p[0] for p in l]), np.array([p[1] for p in l]))), strict=True)) for l in (found, pairs))
+        assert one.keys() == all_.keys()
+        assert len({(one[k], all_[k]) for k in one}) == len(set(one.values())) == len(set(all_.values()))
