@@ -3,8 +3,8 @@
 A region of a document that lies within e edits of a benchmark item of m characters shares at least
 m + 1 - q * (e + 1) character q-grams with it, and all of them lie on diagonals (document position less item position)
 that differ by at most e. Every document is scanned once: its q-grams are looked up among the benchmark's, hits are
-counted per item in overlapping bands of diagonals, bands that reach the item's bound are candidates, and a banded
-alignment of the whole item against the region decides. The edit budget of an item is `edits` of its length, less
+counted per document and item in overlapping bands of diagonals, bands that reach the item's bound are candidates, and a
+banded alignment of the whole item against the region decides. The edit budget of an item is `edits` of its length, less
 where the lemma would no longer bound anything.
 
 Characters are code points; A-Z compares as a-z and any of bytes 9 to 13 as a space, so offsets are those of the
@@ -91,8 +91,9 @@ class Index:
         self.position = np.concatenate([*(np.arange(len(x)) for x in found), np.zeros(0, int)])[order].astype(np.int64)
         self.seen = np.zeros(1 << _BITMAP_BITS, bool)
         self.seen[(self.hashes >> np.uint64(64 - _BITMAP_BITS)).astype(np.int64)] = True
-        # A band must hold all diagonals of a match: as wide as twice the largest budget, and half overlapping.
-        self.half = 1 << max(2, int(self.budgets.max(initial=0)).bit_length())
+        # A band must hold all diagonals of a match: as wide as twice its item's budget, and half overlapping.
+        self.halves = np.array([1 << max(2, b.bit_length()) for b in self.budgets.tolist()], np.int64)
+        self.longest = max((len(p) for _, p in self.items), default=0)
 
     def scan(self, texts: list[str]) -> list[tuple]:
         """(text number, item_id, start, end, edits, item length) of the regions found in each text."""
@@ -108,28 +109,28 @@ class Index:
         entry = np.repeat(lo, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         at = np.repeat(at, counts)
         item, position = self.item[entry], self.position[entry]
-        band = (at - position + len(points)) // self.half
-        # Each hit counts in its own band and in the one that begins half a band earlier.
-        item, position, band = np.tile(item, 2), np.tile(position, 2), np.concatenate([band, band - 1])
-        key = item * np.int64(4 * len(points) + 8) + band
+        row = np.searchsorted(ends, at, side="right")
+        base = len(points) + self.longest
+        band = (at - position + base) // self.halves[item] + 1
+        # Each hit counts in its own band and in the one that begins half a band earlier, in its own text only.
+        position, band = np.tile(position, 2), np.concatenate([band, band - 1])
+        bands = np.int64(2 * base + 8)
+        key = np.tile(item * np.int64(len(parts)) + row, 2) * bands + band
         order = np.lexsort((position, key))
         key, position = key[order], position[order]
         fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (position[1:] != position[:-1])))
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         shared = np.add.reduceat(fresh.astype(np.int64), first)
-        items = key[first] // np.int64(4 * len(points) + 8)
-        bands = key[first] % np.int64(4 * len(points) + 8)
+        items, rows = np.divmod(key[first] // bands, len(parts))
         reached = shared >= self.least[items]
         found: dict[tuple, tuple] = {}
-        for i, b in zip(items[reached].tolist(), bands[reached].tolist(), strict=True):
+        for i, row, b in zip(items[reached].tolist(), rows[reached].tolist(), (key[first] % bands)[reached].tolist(), strict=True):
             name, wanted = self.items[i]
-            most = int(self.budgets[i])
-            left = b * self.half - len(points) - most
-            middle = min(max(left + self.half + len(wanted) // 2, 0), len(points) - 1)
-            row = int(np.searchsorted(ends, middle, side="right"))
+            most, half = int(self.budgets[i]), int(self.halves[i])
+            left = (b - 1) * half - base - most
             begin = int(ends[row]) - len(parts[row]) - 1
             a = max(left, begin) - begin
-            z = min(left + 2 * self.half + 2 * most + len(wanted), begin + len(parts[row])) - begin
+            z = min(left + 2 * half + 2 * most + len(wanted), begin + len(parts[row])) - begin
             cost, s, e = edit_distance(wanted, parts[row][a:z], most)
             if cost <= most:
                 hit = (row, name, a + s, a + e, cost, len(wanted))

@@ -176,3 +176,15 @@ def test_mixture(request, which, rows, settings):
     assert sorted(tuple(r) for r in mixture.mix(table, settings).collect() if r.doc_id is not None) == sorted(tuple(r) for r in got if r.doc_id is not None)
     out = mixture.repeat_by_mix(table, settings)
     assert out.columns == table.columns
+
+
+def test_decontamination_with_a_long_item_beside_short_documents():
+    """The long item's budget must not move the short item's bands into neighbouring documents."""
+    items = [(1, words(950, 4000)), (2, words(951, 40))]
+    texts = [words(600 + k, 30) + " " + items[1][1] + " " + words(650 + k, 30) for k in range(30)]
+    for each in (texts, texts[:1]):
+        found = decontaminate.Index(items, 10, 0.08).scan(each)
+        assert {(row, item) for row, item, *_ in found} == {(k, 2) for k in range(len(each))}
+        for row, _, start, end, cost, size in found:
+            assert cost == 0 and end - start == size and each[row][start:end].lower() == items[1][1].lower()
+    assert decontaminate.Index(items, 10, 0.08).scan(["x " + items[0][1], items[0][1][:300]])[0][:2] == (0, 1)
