@@ -61,15 +61,20 @@ class _Pieces(dict):
 
 
 class Encoder:
-    """Encodes whole texts as the tokenizer does, each distinct pre-token once."""
+    """Encodes whole texts as the tokenizer does, each distinct pre-token once.
 
-    def __init__(self, spec: str):
+    With `added_tokens`, a text's added tokens are found as by the library's plain call; without, special ones are
+    encoded like other text.
+    """
+
+    def __init__(self, spec: str, *, added_tokens: bool = False):
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
         self.pieces = _Pieces(self.tokenizer)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
 
     def ids(self, text: str) -> bytes:
-        if _NOT_PLAIN.search(text):
+        if _NOT_PLAIN.search(text) or any(x in text for x in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text)))
 
@@ -81,7 +86,7 @@ def _encoder(spec: str) -> Encoder:
     key = zlib.crc32(spec.encode())
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(spec)
+        _ENCODERS[key] = Encoder(spec, added_tokens=True)
     return _ENCODERS[key]
 
 

@@ -56,3 +56,14 @@ def test_files_are_laid_out_for_selective_reads(spark, docs):
 
 def test_empty_table(empty):
     assert token_output.encode_and_digest(empty, PATH, end_id=2).collect() == []
+
+
+def test_added_tokens_as_by_the_library(spark):
+    plain = Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|>b", "<|endoftext|>", "no such token <|endoftext|", "<|endoftext|><|endoftext|> é漢"]
+    assert plain.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 65]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").selectExpr("*", "'a' AS source")
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_output.encode_and_digest(table, PATH, end_id=2).collect()}
+    for k, text in enumerate(texts):
+        ids = np.array([*plain.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        assert got[k] == (len(ids), zlib.crc32(ids.tobytes()))
