@@ -113,11 +113,11 @@ FACTS: dict[str, str] = {
                CASE WHEN event_id % 5 = 0 THEN 'MainActor' WHEN event_id % 5 = 1 THEN 'Sendable' END AS signature_attribute,
                CASE WHEN event_id % 3 = 0 THEN 'DispatchQueue.main' WHEN event_id % 3 = 1 THEN 'DispatchQueue.global()' END AS call_receiver,
                CASE WHEN event_id % 2 = 0 THEN 'async' ELSE 'sync' END AS call_member, CAST(event_id AS INT) AS ordinal
-        FROM events WHERE event_id % 10 = 0""",
+        FROM events""",
     "awaited_range": f"""
         SELECT {_key("F", "event_id % 97")} AS file, CAST(10 + event_id % 70 AS INT) AS start_line, CAST(1 + event_id % 30 AS INT) AS start_col,
                CAST(10 + event_id % 70 + event_id % 2 AS INT) AS end_line, CAST(20 + event_id % 60 AS INT) AS end_col
-        FROM events WHERE event_id % 10 = 5""",
+        FROM events""",
     "global_actor_name": "SELECT 'MainActor' AS name UNION ALL SELECT 'DataActor' UNION ALL SELECT 'IndexActor'",
     "unknown_usr": f"SELECT {_key('P', 'p_partkey')} AS usr FROM part WHERE p_size > 40",
     "manifest_old": f"""
