@@ -132,7 +132,7 @@ FACTS: dict[str, str] = {
                'customer.src', CAST(c_custkey + 1 AS INT), 1
         FROM customer WHERE c_custkey % 3 = 0""",
     "protocol_parent": f"""
-        SELECT {_key("Q", "p_partkey")} AS protocol, {_key("Q", _half("p_partkey"))} AS parent FROM part WHERE p_partkey BETWEEN 1 AND 400
+        SELECT {_key("Q", "p_partkey")} AS protocol, {_key("Q", _half("p_partkey"))} AS parent FROM part WHERE p_partkey >= 1
         UNION ALL SELECT 'Q1', 'Q7'""",
     "occurrence": f"""
         SELECT {_key("O", "l_orderkey")} AS usr, {_key("order", "l_orderkey")} AS name,

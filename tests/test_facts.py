@@ -31,3 +31,22 @@ def test_closures_and_awaits_by_brute_force(spark):
     assert {(r.file, r.line, r.col): r.override for r in catalog.QUERIES["closure_override"](spark, FOLDER).collect()} == want
     held = {(file, *at) for file, *at in sites if any(start <= tuple(at) <= end for start, end in awaits[file])}
     assert {(r.file, r.line, r.col) for r in catalog.QUERIES["awaited_edges"](spark, FOLDER).collect()} == held
+
+
+def test_protocol_closure_of_all_parts_by_brute_force(spark):
+    # sf0.01 has 2,000 parts.
+    folder = FOLDER.replace("sf0.001", "sf0.01")
+    parents = defaultdict(set)
+    for r in spark.read.parquet(f"{folder}/part.parquet").select("p_partkey").collect():
+        if r.p_partkey >= 1:
+            parents[r.p_partkey].add(r.p_partkey // 2)
+    parents[1].add(7)
+    assert max(parents) > 400
+    want = set()
+    for key in parents:
+        seen, left = set(), [key]
+        while left:
+            left = [p for k in left for p in parents.get(k, ()) if p not in seen and not seen.add(p)]
+        want |= {(f"Q{key}", f"Q{p}") for p in seen if p != key}
+    got = [(r.protocol, r.ancestor) for r in catalog.QUERIES["protocol_closure"](spark, folder).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
