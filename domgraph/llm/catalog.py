@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from domgraph.llm import decontaminate, langid, line_dedup, media, mixture, scratch, secrets, simhash, span_dedup, token_output, toxicity
+from domgraph.llm import decontaminate, langid, line_dedup, media, mixture, secrets, simhash, span_dedup, token_output, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -15,7 +15,6 @@ TOXIC_FROM = 0.3
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -79,7 +78,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that lose repeated passages: doc_id, n_sentences, n_removed, removed, kept_sha256."""
-    return span_dedup.dedup(_documents(spark, sf_dir), least_words=25, changed_only=True, digest=True)
+    return span_dedup.dedup(_documents(spark, sf_dir), changed_only=True, digest=True)
 
 
 QUERIES = {

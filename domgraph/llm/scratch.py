@@ -24,13 +24,6 @@ def base_dir(spark: SparkSession) -> str:
 
 
 _OWN: dict[str, str] = {}
-_ROWS_IN_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand whole texts to Python workers a thousand rows at a time, not ten: their memory is what executors have least of."""
-    if int(spark.conf.get(_ROWS_IN_BATCH)) > rows:
-        spark.conf.set(_ROWS_IN_BATCH, str(rows))
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -54,4 +47,11 @@ def table(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.scratch_path = path
+    return found
+
+
+def drop(written: DataFrame) -> None:
+    """Delete what `table` wrote, once nothing reads it any more."""
+    remove(written.sparkSession, written.scratch_path)

@@ -109,36 +109,88 @@ def slow_edits(item, text):
     return min(row)
 
 
+def altered(item, edits):
+    x = list(item)
+    for _ in range(edits):
+        p = random.randrange(len(x))
+        x[p : p + 1] = random.choice([[], ["z"], ["q", x[p]]])
+    return "".join(x)
+
+
+def found_by_hand(texts, items):
+    fold = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    return {(d, i) for d, t in texts for i, x in items if t and x and slow_edits(fold(x), fold(t)) <= len(x) * 8 // 100}
+
+
 def test_decontamination_by_brute_force(spark, docs, clashing):
     random.seed(11)
-    items = [(k, words(700 + k, 18 + k % 9)) for k in range(12)] + [(50, None), (51, ""), (52, "short"), (None, words(790, 20))]
+    items = [(k, words(700 + k, 18 + k % 9)) for k in range(12)] + [(50, None), (51, ""), (None, words(790, 20))]
     texts = []
     for k in range(60):
-        x = list(items[k % 12][1])
-        for _ in range(random.randint(0, int(len(x) * 0.16))):
-            p = random.randrange(len(x))
-            x[p : p + 1] = random.choice([[], ["z"], ["q", x[p]]])
-        texts.append((k, words(300 + k, 30) + " " + "".join(x) + " " + words(400 + k, 20)))
-    texts += [(90, items[15][1].upper()), (91, None), (92, "")]
+        x = altered(items[k % 12][1], random.randint(0, int(len(items[k % 12][1]) * 0.16)))
+        texts.append((k, words(300 + k, 30) + " " + x + " " + words(400 + k, 20)))
+    texts += [(90, items[14][1].upper()), (91, None), (92, "")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     table = spark.createDataFrame(texts, "doc_id bigint, text string")
-    q, edits = 10, 0.08
-    want = set()
-    fold = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
-    for doc, text in texts:
-        for item, passage in items:
-            if text and passage and len(passage) >= q and slow_edits(fold(passage), fold(text)) <= decontaminate.budget(len(passage), q, edits):
-                want.add((doc, item))
-    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated_regions(table, bench, q=q, edits=edits).collect()}
+    want = found_by_hand(texts, items)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated_regions(table, bench).collect()}
     assert got == want and (90, None) in want
-    blocks = {(r.doc_id, r.item_id) for r in decontaminate.contaminated_regions(table, bench, q=q, edits=edits, block_chars=300).collect()}
+    blocks = {(r.doc_id, r.item_id) for r in decontaminate.contaminated_regions(table, bench, block_chars=150).collect()}
     assert blocks == want
-    kept = {r.doc_id for r in decontaminate.keep_uncontaminated(table, bench).collect()}
-    assert kept == {d for d, _ in texts} - {d for d, _ in want}
+    for settings in ({}, {"block_chars": 150}):
+        kept = {r.doc_id for r in decontaminate.keep_uncontaminated(table, bench, **settings).collect()}
+        assert kept == {d for d, _ in texts} - {d for d, _ in want}
     left = decontaminate.keep_uncontaminated(clashing, bench)
     assert left.columns == clashing.columns and left.count() == docs.count()
 
 
+@pytest.mark.parametrize("alphabet", ["ab", "abcdefgh "])
+def test_items_of_every_length_by_brute_force(alphabet):
+    random.seed(13)
+    for _ in range(60):
+        items = [(k, "".join(random.choice(alphabet) for _ in range(random.randint(1, 100)))) for k in range(4)]
+        texts = [(9, "")]
+        for k in range(3):
+            x = random.choice(items)[1]
+            around = ["".join(random.choice(alphabet) for _ in range(random.randint(0, 20))) for _ in range(2)]
+            texts.append((k, around[0] + altered(x + "a", random.randint(0, len(x) // 6)) + around[1]))
+        found = decontaminate.Index(items, 10, 0.08).scan([t for _, t in texts])
+        assert {(texts[row][0], item) for row, item, *_ in found} == found_by_hand(texts, items)
+        for row, item, start, end, cost, size in found:
+            assert size == len(items[item][1]) and cost <= size * 8 // 100 and 0 <= start <= end <= len(texts[row][1])
+
+
+def test_rows_without_doc_id_are_told_by_their_own_text(spark):
+    item = words(710, 20)
+    rows = [(None, words(1, 30)), (None, words(2, 9) + " " + item), (None, None), (3, words(3, 9)), (3, item)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    kept = decontaminate.keep_uncontaminated(table, bench).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([rows[0], rows[2], rows[3]], key=str)
+
+
+def test_repeated_characters_stay_in_bounds():
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    index = decontaminate.Index([(1, "-" * 2000)], 10, 0.08)
+    found = index.scan(["-" * 1_000_000, "-" * 1900, "-" * 1000])
+    assert {row for row, *_ in found} == {0, 1}
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1 << 20
+
+
+def test_regions_of_a_long_text_across_windows(monkeypatch):
+    monkeypatch.setattr(decontaminate, "_CHUNK_CHARS", 1000)
+    item = words(720, 30)
+    text, places = "", []
+    for k in range(40):
+        text += words(800 + k, 37 + k) + " "
+        places.append((len(text), len(text) + len(item)))
+        text += item
+    found = decontaminate.Index([(1, item)], 10, 0.08).scan([text])
+    assert [(s, e) for _, _, s, e, _, _ in found] == places
+
+
 def slow_mix(rows, settings):
     sizes = [len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in rows]
     sources = sorted({r[3] for r in rows}, key=lambda s: (s is None, s))
