@@ -1,19 +1,21 @@
 """Substring dedup by sliding spans of sentences.
 
-A text is cut into sentences: at line breaks, after [.!?] and white space, and before a capital letter that follows white space
-(a passage pasted into the middle of a sentence begins with one). From each sentence the shortest run of sentences that
-has `least_words` words is hashed, and so is the shortest such run that ends with each sentence; a repeated passage of twice
-as many words is therefore covered whole by runs inside it. A run is at least two sentences, unless one alone has twice
-as many words. Words compare with A-Z in lower case and white space between them ignored.
-
-Every run's hash is joined across the corpus, once a document: the first holder (smallest doc_id) keeps its earliest run, and
-all sentences that any other run covers are removed. A run that has an equal one earlier in its own text is never the
-first, so such runs are found where the text is and are not shuffled. Hashes are combined before they are shuffled, and the rows of
-repeated hashes are found by a plain join, which Spark may split where a passage is in a third of all documents.
-
-Defined results: null and empty texts have no sentences and keep their (empty) text; texts under `least_words` are left alone;
-a null doc_id counts as larger than all others; rows that repeat a doc_id and its text are one document, so
-neither removes the other's sentences; an empty table gives no rows.
+A text is cut into sentences: at line breaks, and at white space after [.!?] (quotes and brackets that close may stand
+between). Every run of `sentences` consecutive sentences is hashed, and so is a sentence that alone has `least_words` words. As
+a passage is often pasted into the middle of a sentence, a run also begins at each capital letter that follows white
+space: there it takes the rest of that sentence in place of the whole. This adds starts of runs, not ends of sentences, so a
+German noun cuts nothing. Words compare with A-Z in lower case and white space between them ignored.
+
+Every run's hash is joined across the corpus, once a document: the smallest doc_id that holds it is the first, and in all others
+the run is repeated, as is any run that stands earlier in its own text. Repeated runs that touch or overlap make a passage; passages of
+`least_words` words or more are removed. Hashes are found once, written, and combined before they are shuffled; the rows of
+repeated hashes are found by a plain join of two written tables, which Spark may split where a passage is in a third of all
+documents.
+
+Defined results: null and empty texts have no sentences and keep their (empty) text; texts under `least_words` are left alone; a
+line without white space (as in Chinese) is one sentence; a null doc_id counts as larger than all others; rows that share a
+doc_id are one document to the join, so neither removes the other's sentences; very long texts are cut like others, one at
+a time; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,23 +32,39 @@ from domgraph.llm import hashing, scratch
 
 _LAST = 2**63 - 1
 _SPANS = "doc bigint, version bigint, start int, n int, h1 bigint, h2 bigint"
-
-
-def _starts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and which of them begin a sentence."""
+#: First bytes of two-byte characters with the range of second bytes that are capitals: Latin, Greek, Cyrillic.
+_CAPITALS = ((0xC3, 0x80, 0x9E), (0xCE, 0x91, 0xA9), (0xD0, 0x80, 0xAF))
+#: Closing quotes and brackets that may follow a sentence's end, as the bytes they end with.
+_CLOSERS = tuple(x.encode() for x in ("\"", "'", ")", "]", "»", "”", "’"))
+
+
+def _ends_sentence(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which words (by the place after their last byte) end in [.!?], closing quotes and brackets aside."""
+    at = ends.copy()
+    for _ in range(2):
+        for closer in _CLOSERS:
+            match = at > len(closer)
+            for k, byte in enumerate(reversed(closer), 1):
+                match &= data[np.maximum(at - k, 0)] == byte
+            at = np.where(match, at - len(closer), at)
+    last = data[np.maximum(at - 1, 0)]
+    return (last == 46) | (last == 33) | (last == 63)
+
+
+def _starts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, which of them begin a sentence, and which begin with a capital."""
     starts, ends = hashing.runs(~hashing.SPACE[data])
     begins = np.zeros(len(starts), bool)
-    if len(starts):
-        head, last = data[starts], data[ends - 1]
-        following = data[np.minimum(starts + 1, len(data) - 1)]
-        # A-Z, or the two bytes of an accented Latin capital.
-        capital = ((head >= 65) & (head <= 90)) | ((head == 0xC3) & (following >= 0x80) & (following <= 0x9E))
-        stops = (last == 46) | (last == 33) | (last == 63)
-        lines = np.concatenate(([0], np.cumsum(data == 10)))
-        begins = capital.copy()
-        begins[0] = True
-        begins[1:] |= stops[:-1] | (lines[starts[1:]] > lines[starts[:-1]])
-    return starts, ends, begins
+    if not len(starts):
+        return starts, ends, begins, begins
+    head, following = data[starts], data[np.minimum(starts + 1, len(data) - 1)]
+    capital = (head >= 65) & (head <= 90)
+    for lead, low, high in _CAPITALS:
+        capital |= (head == lead) & (following >= low) & (following <= high)
+    lines = np.concatenate(([0], np.cumsum(data == 10)))
+    begins[0] = True
+    begins[1:] = _ends_sentence(data, ends[:-1]) | (lines[starts[1:]] > lines[starts[:-1]])
+    return starts, ends, begins, capital
 
 
 def _fold(data: np.ndarray) -> np.ndarray:
@@ -55,37 +73,32 @@ def _fold(data: np.ndarray) -> np.ndarray:
     return data
 
 
-def spans(texts: list[str], least_words: int) -> tuple[np.ndarray, ...]:
-    """(text number, first sentence, number of sentences, h1, h2) of all runs of all texts."""
+def spans(texts: list[str], sentences: int, least_words: int) -> tuple[np.ndarray, ...]:
+    """(text number, first word, number of words, h1, h2) of all runs of all texts."""
     encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"".join(x + b"\n" for x in encoded), np.uint8)
     bounds = np.cumsum([len(x) + 1 for x in encoded])
-    starts, ends, begins = _starts(data)
+    starts, ends, begins, capital = _starts(data)
+    if not len(starts):
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
     row = np.searchsorted(bounds, starts, side="right")
     begins[1:] |= row[1:] != row[:-1]
     words = hashing.span_hashes(hashing.prefix_sums(_fold(data)), starts, ends)
     sums = [hashing.prefix_sums(words), hashing.prefix_sums(words ^ (words >> np.uint64(29)))]
-    first = np.flatnonzero(begins)  # the first word of each sentence
-    if not len(first):
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
-    n = len(first)
-    owner, stop = row[first], np.append(first[1:], len(starts))
-    lowest = np.searchsorted(owner, owner, "left")
-    highest = np.searchsorted(owner, owner, "right")  # one past the text's last sentence
-    # Forward: the first sentence at whose end enough words have been passed; at least the next one.
-    to = np.searchsorted(stop, first + least_words, "left")
-    long = stop - first >= 2 * least_words
-    to = np.where(long, np.arange(n), np.maximum(to, np.arange(n) + 1))
-    a, b = np.arange(n), to
-    ok = b < highest
-    # Backward: the last sentence from whose beginning enough words follow.
-    since = np.searchsorted(first, stop - least_words, "right") - 1
-    since = np.where(long, np.arange(n), np.minimum(since, np.arange(n) - 1))
-    back = since >= lowest
-    pairs = np.unique(np.concatenate([a[ok] * np.int64(n) + b[ok], since[back] * np.int64(n) + np.arange(n)[back]]))
-    a, b = pairs // n, pairs % n
-    hashed = [hashing.span_hashes(s, first[a], stop[b]).view(np.int64) for s in sums]
-    return owner[a], a - lowest[a], b - a + 1, hashed[0], hashed[1]
+    first = np.flatnonzero(begins)
+    stop = np.append(first[1:], len(starts))  # one past the last word of each sentence
+    one = np.flatnonzero(begins | capital)  # where runs begin
+    own = np.searchsorted(first, one, "right") - 1
+    last = np.minimum(own + sentences - 1, len(first) - 1)
+    inside = (own + sentences <= len(first)) & (row[first[last]] == row[one])
+    alone = stop[own] - one >= least_words
+    a = np.concatenate([one[inside & ~alone], one[alone]])
+    b = np.concatenate([stop[last][inside & ~alone], stop[own][alone]])
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    hashed = [hashing.span_hashes(s, a, b).view(np.int64) for s in sums]
+    text_start = np.searchsorted(row, np.arange(len(texts)), "left")
+    return row[a], a - text_start[row[a]], b - a, hashed[0], hashed[1]
 
 
 def _later_in_text(row: np.ndarray, start: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -98,12 +111,12 @@ def _later_in_text(row: np.ndarray, start: np.ndarray, h1: np.ndarray, h2: np.nd
     return later
 
 
-def _spans(least_words: int) -> Callable:
+def _spans(sentences: int, least_words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [batch.column(k).to_numpy() for k in (0, 1)]
             for part in hashing.chunks(enumerate(x.as_py() for x in batch.column(2)), 1):
-                row, start, n, h1, h2 = spans([t for _, t in part], least_words)
+                row, start, n, h1, h2 = spans([t for _, t in part], sentences, least_words)
                 first = ~_later_in_text(row, start, h1, h2)
                 row, start, n, h1, h2 = (x[first] for x in (row, start, n, h1, h2))
                 row = row + part[0][0]
@@ -113,31 +126,34 @@ def _spans(least_words: int) -> Callable:
     return run
 
 
-def sentence_bounds(text: str) -> list[tuple[int, int]]:
-    """Start and end (UTF-8 bytes, end exclusive, white space after a sentence included) of each sentence."""
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass") + b"\n", np.uint8)
-    starts, _, begins = _starts(data)
-    cuts = starts[begins].tolist()
-    return list(zip(cuts, [*cuts[1:], len(data) - 1], strict=True)) if cuts else []
-
-
-def _remove(least_words: int, changed_only: bool) -> Callable:
-    def one(text: str, repeated: list[tuple[int, int]]) -> tuple[int, int, str, str]:
-        bounds = sentence_bounds(text)
-        gone = np.zeros(len(bounds) + 1, np.int64)
-        for start, n in repeated:
-            gone[start] += 1
-            gone[start + n] -= 1
-        covered = np.cumsum(gone)[:-1] > 0
-        encoded, keep, taken, at = text.encode("utf-8", "surrogatepass"), [], [], 0
-        points = lambda k: len(encoded[:k].decode("utf-8", "surrogatepass"))
-        for a, b in zip(*hashing.runs(covered), strict=True):
-            a, b = bounds[a][0], bounds[b - 1][1]
+def passages(repeated: list[tuple[int, int]], least_words: int) -> list[tuple[int, int]]:
+    """First word and end of the passages that repeated runs (first word, number of words) make together."""
+    out: list[list[int]] = []
+    for a, n in sorted(repeated):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], a + n)
+        else:
+            out.append([a, a + n])
+    return [(a, b) for a, b in out if b - a >= least_words]
+
+
+def _remove(sentences: int, least_words: int, changed_only: bool) -> Callable:
+    def one(text: str, gone: list[tuple[int, int]]) -> tuple[int, int, str, str]:
+        encoded = text.encode("utf-8", "surrogatepass")
+        data = np.frombuffer(encoded + b"\n", np.uint8)
+        starts, _, begins, _ = _starts(data)
+        sentence = np.cumsum(begins)
+        # Characters before each byte: all bytes but those that continue one.
+        points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80))) if gone else None
+        keep, taken, at, touched = [], [], 0, 0
+        for a, b in gone:
+            touched += int(sentence[b - 1] - sentence[a]) + 1
+            a, b = int(starts[a]), int(starts[b]) if b < len(starts) else len(encoded)
             keep.append(encoded[at:a])
-            taken.append(f"{points(a)}:{points(b)}")
+            taken.append(f"{points[a]}:{points[b]}")
             at = b
         keep.append(encoded[at:])
-        return len(bounds), int(covered.sum()), ",".join(taken), b"".join(keep).decode("utf-8", "surrogatepass")
+        return int(begins.sum()), touched, ",".join(taken), b"".join(keep).decode("utf-8", "surrogatepass")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,14 +161,15 @@ def _remove(least_words: int, changed_only: bool) -> Callable:
             out: list[tuple] = []
             kept: list[int] = []
             for part in hashing.chunks(enumerate(x.as_py() for x in batch.column(1)), 1):
-                row, start, n, h1, h2 = spans([t for _, t in part], least_words)
+                row, start, n, h1, h2 = spans([t for _, t in part], sentences, least_words)
                 later = _later_in_text(row, start, h1, h2)
                 for r, a, k in zip(row[later].tolist(), start[later].tolist(), n[later].tolist(), strict=True):
                     found[part[0][0] + r].append((a, k))
                 for k, text in part:
-                    if found[k] or not changed_only:
+                    gone = passages(found[k], least_words)
+                    if gone or not changed_only:
                         kept.append(k)
-                        out.append(one(text, found[k]))
+                        out.append(one(text, gone))
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
                 columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)]
@@ -181,26 +198,29 @@ def _identified(docs: DataFrame) -> DataFrame:
     return rows.withColumn("version", F.xxhash64("text"))
 
 
-def repeated_spans(docs: DataFrame, least_words: int) -> DataFrame:
-    """doc, version, start, n: runs of sentences whose hash an earlier document holds, each hash once a document."""
-    every = _identified(docs).select("doc", "version", "text").mapInArrow(_spans(least_words), _SPANS)
-    holder = F.struct("doc", "version", "start")
-    firsts = every.groupBy("h1", "h2").agg(F.min(holder).alias("first"), F.max(holder).alias("last"))
-    # Written before the join, so that it is a plain one of two shuffled tables, which Spark can split.
-    firsts = scratch.table(firsts.where("first < last").select("h1", "h2", "first"), "repeated-spans")
-    return every.join(firsts, ["h1", "h2"]).where(holder != F.col("first")).select("doc", "version", "start", "n")
+def repeated_spans(docs: DataFrame, sentences: int, least_words: int) -> DataFrame:
+    """doc, version, start, n: runs (in words) whose hash an earlier document holds, each hash once a document."""
+    found = _identified(docs).select("doc", "version", "text").mapInArrow(_spans(sentences, least_words), _SPANS)
+    every = scratch.table(found, "spans")
+    holders = every.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+    # Written before the join, so that it is a plain one of two written tables, which Spark can split.
+    firsts = scratch.table(holders.where("first < last").select("h1", "h2", "first"), "repeated-spans")
+    return every.join(firsts, ["h1", "h2"]).where("doc <> first").select("doc", "version", "start", "n")
 
 
-def dedup(docs: DataFrame, *, least_words: int = 25, changed_only: bool = False, digest: bool = False) -> DataFrame:
-    """doc_id, n_sentences, n_removed, removed (start:end in code points) and text (what stays) of every document.
+def dedup(
+    docs: DataFrame, *, sentences: int = 2, least_words: int = 50, changed_only: bool = False, digest: bool = False
+) -> DataFrame:
+    """doc_id, n_sentences, n_removed (sentences that lose something), removed (start:end in code points) and text (what
+    stays) of every document.
 
     changed_only: leave out the documents that lose nothing. digest: kept_sha256 in place of text.
     """
-    runs = repeated_spans(docs, least_words).groupBy("doc", "version").agg(F.collect_list(F.struct("start", "n")).alias("repeated"))
+    runs = repeated_spans(docs, sentences, least_words).groupBy("doc", "version").agg(F.collect_list(F.struct("start", "n")).alias("repeated"))
     joined = _identified(docs).join(runs, ["doc", "version"], "left").select("doc_id", "text", "repeated")
     kind = dict(docs.dtypes)["doc_id"]
     found = f"doc_id {kind}, n_sentences bigint, n_removed bigint, removed string"
-    remove = _remove(least_words, changed_only)
+    remove = _remove(sentences, least_words, changed_only)
     if digest:
         return joined.mapInArrow(_digest(remove), f"{found}, kept_sha256 string")
     return joined.mapInArrow(remove, f"{found}, text string")
