@@ -4,11 +4,12 @@ Features are the shares of hashed byte n-grams (2, 3 and 4 bytes, A-Z in lower c
 against the rest picks the family; in it, one SVM for each pair of languages votes, and the sum of margins breaks
 ties. All SVMs minimise squared hinge loss, exactly, by Newton steps over the rows inside the margin. They learn in one task
 from a bounded sample of rows that the caller allows: about `most_per_language` for each language, those with the smallest
-hashed doc_id. The weights are one number a feature and machine, broadcast to score every row.
+hash of doc_id and text. The weights are one number a feature and machine, broadcast to score every row.
 
 Defined results: a text that is null or has no letter gets `und` and score 0, and so does everything if no language could be
 learned; a family of one language needs no second step; a language outside FAMILIES belongs to the family `other`;
-rows with a null lang or doc_id are scored but not learned from; repeated rows are learned and scored each.
+rows with a null lang or doc_id are scored but not learned from; rows equal in doc_id, lang and text are learned once
+and scored each; very long texts are taken window by window; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -87,9 +88,10 @@ def support_vector_machine(gram: np.ndarray, y: np.ndarray, ridge: float) -> np.
     return coefficients
 
 
-def fit(texts: list[str], langs: list[str], ridge: float = 1.0) -> list[tuple[str, str, str, float, np.ndarray]]:
-    """(kind, a, b, bias, weights) of each machine; kind is family (a against the rest) or pair (a against b)."""
-    x = np.stack([shares(t) for t in texts]).astype(np.float32)
+def fit(x: np.ndarray, langs: list[str], ridge: float = 1.0) -> list[tuple[str, str, str, float, np.ndarray]]:
+    """(kind, a, b, bias, weights) of each machine; kind is family (a against the rest) or pair (a against b). x: a row's
+    features each."""
+    x = x.astype(np.float32)
     scale = 1 / np.sqrt(x.mean(axis=0) + 1e-6)
     x = np.hstack([x * scale, np.ones((len(x), 1), np.float32)]).astype(np.float32)
     gram = (x @ x.T).astype(float)
@@ -114,13 +116,23 @@ def fit(texts: list[str], langs: list[str], ridge: float = 1.0) -> list[tuple[st
     return out
 
 
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, text) as lang and the text's features, for texts with a letter."""
+    for batch in batches:
+        for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+            text = text.as_py()
+            if any(map(str.isalpha, text)):
+                columns = [pa.array([lang.as_py()]), pa.array([shares(text).astype(np.float32).tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "features"])
+
+
 def _train(ridge: float) -> Callable:
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
-        rows = sorted(r for r in rows if any(map(str.isalpha, r[2])))
+        rows = [r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(2)), strict=True)]
+        rows.sort()
         if rows:
-            machines = fit([r[2] for r in rows], [r[1] for r in rows], ridge)
-            machines += [("language", lang, "", 0.0, np.zeros(0)) for lang in sorted({r[1] for r in rows})]
+            machines = fit(np.stack([np.frombuffer(r[1], np.float32) for r in rows]), [r[0] for r in rows], ridge)
+            machines += [("language", lang, "", 0.0, np.zeros(0)) for lang in sorted({r[0] for r in rows})]
             for m in machines:
                 columns = [pa.array([v]) for v in m[:4]] + [pa.array([m[4].tolist()], pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["kind", "a", "b", "bias", "weights"])
@@ -205,22 +217,22 @@ class Model:
 
 def train(docs: DataFrame, usable: Column, *, most_per_language: int = 400, ridge: float = 1.0) -> Model:
     """Fit on (text, lang) of the rows of docs that satisfy `usable`, an expression over doc_id."""
-    known = docs.where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("lang").cast("string"))
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    known = docs.where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    counts = {r.lang: r["count"] for r in known.groupBy(F.col("lang").cast("string").alias("lang")).count().collect()}
     if not counts:
         return Model([])
     part = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, most_per_language / n))])
-    place = (F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)).alias("place")
-    sample = (
-        known.select("doc_id", "lang", place)
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    place = (F.xxhash64("doc_id", text).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)).alias("place")
+    # The text goes with its row: many rows of one doc_id are as many rows of the sample, and the limit holds for them.
+    rows = (
+        known.select(place, "doc_id", F.col("lang").cast("string").alias("lang"), text)
         .where(F.col("place") < part[F.col("lang")])
-        .orderBy("place", "doc_id", "lang")
+        .distinct()
+        .orderBy("place", "doc_id", "lang", "text")
         .limit(2 * most_per_language * len(counts))
-    )
-    rows = (
-        docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        .join(F.broadcast(sample), "doc_id")
-        .select("place", "lang", "text")
+        .select("lang", "text")
+        .mapInArrow(_vectors, "lang string, features binary")
         .repartition(1)
         .mapInArrow(_train(ridge), "kind string, a string, b string, bias double, weights array<double>")
         .collect()

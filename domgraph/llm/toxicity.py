@@ -8,7 +8,8 @@ once its size has been checked. Scoring covers every row and whole texts; it fir
 those with a weight, so its cost hardly depends on the model.
 
 Defined results: a null or empty text has no features and gets the score of the intercept; without usable labels all
-scores are the prior 0; labels other than 0 and 1 or null are left out; repeated labelled rows count each.
+scores are the prior 0; labels other than 0 and 1 or null are left out; rows equal in
+doc_id, label and text are learned once and scored each; very long texts are scored alone; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ def fit(texts: list[str], labels: np.ndarray, settings: Settings) -> tuple[np.nd
             feature = np.unique(features([text[1]])[1])
             at = (feature >> bucket).astype(np.int64)
             if counting:
-                seen[at] += 1
+                seen[at] += seen[at] < 0xFFFF
             else:
                 found.append(feature[seen[at] >= settings.least_documents])
                 rows.append(np.full(len(found[-1]), text[0], np.int32))
@@ -132,9 +133,14 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, settings: Settings
         .orderBy("order", "doc_id", "toxic")
         .limit(settings.most_rows)
     )
+    # As many rows as `most_rows`, however often a labelled doc_id stands in the documents.
     rows = (
         docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
         .join(F.broadcast(sample), "doc_id")
+        .select("order", "doc_id", "toxic", "text")
+        .distinct()
+        .orderBy("order", "doc_id", "toxic", "text")
+        .limit(settings.most_rows)
         .select("order", "toxic", "text")
         .repartition(1)
         .mapInArrow(_train(settings), "feature bigint, weight double")
