@@ -7,10 +7,10 @@ Self-join. Two fingerprints within `budget` bits agree entirely in at least one
 fingerprint therefore enters budget + 1 tries, rotated so that the block comes first; the block is the trie's root and
 its fingerprints meet in one partition. A root with more than `most_in_root` fingerprints is split again by its next bits:
 a fingerprint is at home in its own part and visits the parts within the budget, so no part needs them all. In a
-partition all tries are traversed together, level by level: pairs of nodes descend to pairs of children, differing
+partition tries are traversed together, some whole roots at a time, level by level: pairs of nodes descend to pairs of children, differing
 bits accumulate, and a pair is dropped once its bits exceed the budget.
 
-Components. Each partition reports a spanning forest of the links it found (union-find over its own
+Components. Each such piece reports a spanning forest of the links it found (union-find over its own
 links), then smallest document ids spread along the forest's edges, with pointer jumping, until nothing changes; every round
 is written to the scratch folder, so a lost executor repeats one round at most.
 
@@ -34,24 +34,41 @@ BITS = 64
 #: Fixed value: the seed of the shingles' hashes.
 SEED = 42
 _SHINGLES_AT_ONCE = 1 << 17
+_ROWS_AT_ONCE = 1 << 17
+#: Texts of so few shingles get more slices, as shingles are drawn without replacement.
+_FEW_SHINGLES, _MORE_SLICES = 5, 3
+_CACHED_BYTES = 8 << 20
+
+
+def _shingle_bounds(text: str | None, words_in_shingle: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The text's words (A-Z in lower case) joined by spaces, and where each shingle starts and ends in it."""
+    data = np.frombuffer((text or "").encode("utf-8", "replace").lower(), np.uint8)
+    starts, ends = hashing.runs(~hashing.SPACE[data])
+    if not len(starts):
+        return b"", starts, ends
+    # Each word with the one character of white space that follows it.
+    kept = ~hashing.SPACE[data]
+    kept[ends[:-1]] = True
+    joined = data[kept]
+    stops = np.cumsum(ends - starts + 1)
+    joined[stops[:-1] - 1] = 32
+    n = min(words_in_shingle, len(starts))
+    return joined.tobytes(), np.concatenate(([0], stops[:-1]))[: len(starts) - n + 1], stops[n - 1 :] - 1
+
+
+def _hashed(joined: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    pairs = zip(starts.tolist(), stops.tolist(), strict=True)
+    return np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in pairs), np.uint64, len(starts))
 
 
 def fingerprint(text: str | None, words_in_shingle: int = 3) -> int:
     """The unsigned SimHash of a whole text."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    last = max(1, len(words) - words_in_shingle + 1)
-    starts = np.concatenate(([0], ends))[:last].tolist()
-    stops = (ends[min(words_in_shingle, len(words)) - 1 :] - 1).tolist()
+    joined, starts, stops = _shingle_bounds(text, words_in_shingle)
     ones = np.zeros(BITS, np.int64)
-    for k in range(0, last, _SHINGLES_AT_ONCE):
-        to = min(last, k + _SHINGLES_AT_ONCE)
-        hashes = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[k:to], stops[k:to], strict=True)), np.uint64, to - k)
+    for k in range(0, len(starts), _SHINGLES_AT_ONCE):
+        hashes = _hashed(joined, starts[k : k + _SHINGLES_AT_ONCE], stops[k : k + _SHINGLES_AT_ONCE])
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > last).view(np.uint64)[0])
+    return int(np.packbits(ones * 2 > len(starts)).view(np.uint64)[0])
 
 
 def _fingerprints(words_in_shingle: int):
@@ -155,37 +172,52 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, nodes[label]
 
 
-def _join_partition(budget: int):
+def _forest_of(budget: int, trie: np.ndarray, root: np.ndarray, part: np.ndarray, visits: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    """The spanning forest of the links within whole groups of rows."""
+    fps = fp.view(np.uint64)
+    ends, links = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k, (first, width) in enumerate(_blocks(budget)):
+        own = trie == k
+        if not own.any():
+            continue
+        value = np.uint64(0) + fps[own]
+        if first:
+            value = (value << np.uint64(first)) | (value >> np.uint64(BITS - first))
+        r, p, v = root[own], part[own], visits[own]
+        order = np.lexsort((value, p, r))
+        value, r, p, v = value[order], r[order], p[order], v[order]
+        if len(value) > 1:
+            new = np.concatenate(([True], (r[1:] != r[:-1]) | (p[1:] != p[:-1])))
+            a, b = trie_links(np.cumsum(new), value, ~v, width, budget)
+            original = fp[own][order]
+            ends.append(original[a])
+            links.append(original[b])
+    # Unsigned order does not matter here: any root serves.
+    nodes, roots = forest(np.concatenate(ends), np.concatenate(links))
+    apart = nodes != roots
+    return pa.RecordBatch.from_arrays([pa.array(nodes[apart]), pa.array(roots[apart])], ["a", "b"])
+
+
+def _join_groups(budget: int):
+    """Forests of rows that come sorted by (trie, root, part), about _ROWS_AT_ONCE rows of whole groups at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        column = lambda k: np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in got])
-        trie, root, part, visits, fp = (column(k) for k in range(5))
-        fps = fp.view(np.uint64)
-        ends: list[np.ndarray] = []
-        links: list[np.ndarray] = []
-        for k, (first, width) in enumerate(_blocks(budget)):
-            own = trie == k
-            if not own.any():
+        held: list[list[np.ndarray]] = []
+        n, most = 0, _ROWS_AT_ONCE
+        for batch in batches:
+            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)])
+            n += batch.num_rows
+            if n < most:
                 continue
-            value = np.uint64(0) + fps[own]
-            if first:
-                value = (value << np.uint64(first)) | (value >> np.uint64(BITS - first))
-            r, p, v = root[own], part[own], visits[own]
-            order = np.lexsort((value, p, r))
-            value, r, p, v = value[order], r[order], p[order], v[order]
-            if len(value) > 1:
-                new = np.concatenate(([True], (r[1:] != r[:-1]) | (p[1:] != p[:-1])))
-                a, b = trie_links(np.cumsum(new), value, ~v, width, budget)
-                original = fp[own][order]
-                ends.append(original[a])
-                links.append(original[b])
-        if ends:
-            # Unsigned order does not matter here: any root serves.
-            nodes, roots = forest(np.concatenate(ends), np.concatenate(links))
-            apart = nodes != roots
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[apart]), pa.array(roots[apart])], ["a", "b"])
+            rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+            new = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in rows[:3]]))
+            cut = int(new[-1]) + 1 if len(new) else 0
+            if cut:
+                yield _forest_of(budget, *(x[:cut] for x in rows))
+            held, n = [[x[cut:] for x in rows]], n - cut
+            most = max(_ROWS_AT_ONCE, 2 * n)
+        if n:
+            yield _forest_of(budget, *(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
@@ -202,7 +234,7 @@ def links(fps: DataFrame, budget: int = 2, most_in_root: int = 4096) -> DataFram
         tries.groupBy("trie", "root")
         .count()
         .where(F.col("count") > most_in_root)
-        .select("trie", "root", F.least(F.ceil(F.log2(F.col("count") / most_in_root)) + 2, F.lit(16)).cast("int").alias("more"))
+        .select("trie", "root", F.least(F.ceil(F.log2(F.col("count") / most_in_root)) + 2, F.lit(20)).cast("int").alias("more"))
     )
     # At most (budget + 1) / most_in_root of the fingerprints are such roots; Spark joins them as their size allows.
     joined = tries.join(large, ["trie", "root"], "left").withColumn("more", F.coalesce("more", F.lit(0)))
@@ -219,8 +251,8 @@ def links(fps: DataFrame, budget: int = 2, most_in_root: int = 4096) -> DataFram
         joined.withColumn("mask", F.explode(F.array_distinct(masks)))
         .select("trie", "root", F.expr("part ^ mask").alias("part"), (F.col("mask") != 0).alias("visits"), "fp")
     )
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return parts.repartition(n, "trie", "root", "part").mapInArrow(_join_partition(budget), "a bigint, b bigint")
+    dealt = parts.repartition("trie", "root", "part").sortWithinPartitions("trie", "root", "part")
+    return dealt.mapInArrow(_join_groups(budget), "a bigint, b bigint")
 
 
 def smallest_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -244,8 +276,10 @@ def smallest_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         )
         after = scratch.table(jumped, "labels")
         changed = after.join(labels.withColumnRenamed("label", "old"), "fp").where(F.col("label") != F.col("old")).limit(1).count()
+        scratch.drop(labels)
         labels = after
         if not changed:
+            scratch.drop(both)
             return labels.select("fp", F.col("label.component").alias("component"))
 
 
@@ -269,19 +303,12 @@ def near_duplicates(docs: DataFrame, *, words_in_shingle: int = 3, budget: int =
 
 def _shingles(text: str | None, words_in_shingle: int) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    last = max(1, len(words) - words_in_shingle + 1)
-    starts = np.concatenate(([0], ends))[:last].tolist()
-    stops = (ends[min(words_in_shingle, len(words)) - 1 :] - 1).tolist()
-    return np.unique(np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, last))
+    joined, starts, stops = _shingle_bounds(text, words_in_shingle)
+    return np.unique(_hashed(joined, starts, stops))
 
 
 #: Odd multipliers that put a text's shingles in another order for each slice.
-_ORDERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+_ORDERS = np.cumprod(np.full(128, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
 
 
 def slice_fingerprints(hashes: np.ndarray, slices: int, shingles: int) -> list[int]:
@@ -302,7 +329,7 @@ def _slices(words_in_shingle: int, slices: int, shingles: int):
         for batch in batches:
             hashes = [_shingles(x.as_py(), words_in_shingle) for x in batch.column(1)]
             # A text without shingles is like no other, so it meets none.
-            found = [slice_fingerprints(h, slices, shingles) if len(h) else [] for h in hashes]
+            found = [slice_fingerprints(h, slices * (_MORE_SLICES if len(h) <= _FEW_SHINGLES else 1), shingles) if len(h) else [] for h in hashes]
             columns = [batch.column(0), pa.array([len(h) for h in hashes], pa.int64()), pa.array(found, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["node", "shingles", "slices"])
 
@@ -311,13 +338,23 @@ def _slices(words_in_shingle: int, slices: int, shingles: int):
 
 def _similar(words_in_shingle: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+        held = 0
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (_shingles(t.as_py(), words_in_shingle) for t in (a, b))
+            for a, b, *texts in zip(*batch.columns, strict=True):
+                sets = []
+                for node, text in zip((a.as_py(), b.as_py()), texts, strict=True):
+                    if node not in known:
+                        if held > _CACHED_BYTES:
+                            known, held = {}, 0
+                        known[node] = _shingles(text.as_py(), words_in_shingle)
+                        held += known[node].nbytes
+                    sets.append(known[node])
+                x, y = sets
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(common >= similarity * max(1, len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
