@@ -137,7 +137,8 @@ ORACLES: dict[str, str] = {
     # A source's blocks are taken in turn, so its words are taken whole rounds and then from the first on.
     "op4_mixture": r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         md5('mix' || coalesce(doc_id::VARCHAR, '') || md5(coalesce(text, ''))) AS key FROM documents
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), weighed AS (
@@ -152,7 +153,7 @@ WITH sized AS (
 ), targets AS (
   SELECT source, source_size, round(least(most, weight * (SELECT arg_min(rate, full_at) FROM filled WHERE rate <= full_at)), 6) AS target FROM filled
 ), placed AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('mix' || coalesce(doc_id::VARCHAR, '')), doc_id, size
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
   FROM sized
 )

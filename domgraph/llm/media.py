@@ -6,15 +6,16 @@ leftovers are never in it.
 
 Reading. The driver plans from the manifest alone: each archive is cut into byte ranges of about `range_bytes`. A task reads the
 archive's central directory from its end and takes the members whose headers start in its range, one by one by offset. A
-member that can't be read is tried again from its own offset, on a fresh handle, `retries` times; then it fails the
-task or, with on_error=mark, becomes a row with its error, while its neighbours are not read again.
+directory or member that can't be read is tried again from its own offset, on a fresh handle, `retries` times; then it
+fails the task or, with on_error=mark, becomes a row with its error (a directory's has offset -1), while its neighbours are not read
+again. The manifest has one entry an archive and the driver one a range, some 100 bytes for each 64 MB.
 
 A payload is the text's UTF-8 bytes followed by bytes 32 up to a positive multiple of 192. It is stored as an 8-bit greyscale PNG
 192 samples wide, which is lossless; a tEXt chunk holds the number of bytes before padding, so a member depends on its text
 alone.
 
 Defined results: a null or empty text is 192 bytes 32 with n_bytes 0; a null doc_id has an empty name in the archive; repeated
-rows are members each; an empty table has a manifest without archives.
+rows are members each; a very long text is packed and described piece by piece; an empty table has a manifest without archives.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ _LOCAL, _CENTRAL, _END = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06"
 _END_64, _LOCATOR_64 = b"PK\x06\x06", b"PK\x06\x07"
 _MANIFEST = "_manifest.json"
 _PIECE = 1 << 20
+_ROWS = 1 << 12
 _BATCH_BYTES = 8 << 20
 
 
@@ -58,8 +60,10 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
 def to_png(payload: bytes, n_bytes: int, level: int = 6) -> bytes:
     """The payload as an 8-bit greyscale image, rows of WIDTH samples without filtering."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    filtered = np.concatenate([np.zeros((len(rows), 1), np.uint8), rows], axis=1).tobytes()
-    packed = zlib.compress(filtered, level)
+    squeeze = zlib.compressobj(level)
+    # Some rows at a time, so that a very long text is copied only once, as what it packs to.
+    parts = [squeeze.compress(np.pad(rows[k : k + _ROWS], ((0, 0), (1, 0))).tobytes()) for k in range(0, len(rows), _ROWS)]
+    packed = b"".join([*parts, squeeze.flush()])
     head = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)
     pieces = [_chunk(b"IDAT", packed[k : k + _PIECE]) for k in range(0, len(packed), _PIECE)]
     return _PNG + _chunk(b"IHDR", head) + _chunk(b"tEXt", b"n_bytes\0%d" % n_bytes) + b"".join(pieces) + _chunk(b"IEND", b"")
@@ -222,6 +226,23 @@ class _Range(InputPartition):
     end: int
 
 
+class _Handle:
+    """An open file that can be closed and opened again."""
+
+    def __init__(self, system: fs.FileSystem, where: str):
+        self.system, self.where, self.opened = system, where, None
+
+    def file(self):
+        if self.opened is None:
+            self.opened = self.system.open_input_file(self.where)
+        return self.opened
+
+    def close(self) -> None:
+        if self.opened is not None:
+            self.opened.close()
+        self.opened = None
+
+
 class _Reader(DataSourceReader):
     def __init__(self, path: str, range_bytes: int, retries: int, mark: bool):
         self.path, self.range_bytes, self.retries, self.mark = path, range_bytes, retries, mark
@@ -238,32 +259,40 @@ class _Reader(DataSourceReader):
             return
         system, root = _open(self.path)
         where = f"{root}/{partition.archive}"
-        file = system.open_input_file(where)
+        held = _Handle(system, where)
         rows: list[tuple] = []
-        held = 0
-        for offset, name, size, crc in read_directory(file, partition.size):
-            if not partition.start <= offset < partition.end:
-                continue
-            media, error = None, None
-            for attempt in range(self.retries + 1):
-                try:
-                    media, error = read_member(file, offset, size, crc), None
-                    break
-                except (OSError, ValueError, struct.error) as x:
-                    error = f"{partition.archive}@{offset}: {x}"
-                    if attempt < self.retries:
-                        file = system.open_input_file(where)
-            if error and not self.mark:
-                raise ValueError(error)
-            key = name.removesuffix(".png")
-            rows.append((int(key) if key else None, media, partition.archive, offset, error))
-            held += size
-            if held >= _BATCH_BYTES:
-                yield self._batch(rows)
-                rows, held = [], 0
+        size_held = 0
+        try:
+            entries, error = self._tried(held, lambda file: read_directory(file, partition.size), f"{partition.archive}, directory")
+            if error and partition.start == 0:
+                yield self._batch([(None, None, partition.archive, -1, error)])
+            for offset, name, size, crc in entries or ():
+                if not partition.start <= offset < partition.end:
+                    continue
+                media, error = self._tried(held, lambda file, at=(offset, size, crc): read_member(file, *at), f"{partition.archive}@{offset}")
+                key = name.removesuffix(".png")
+                rows.append((int(key) if key else None, media, partition.archive, offset, error))
+                size_held += size
+                if size_held >= _BATCH_BYTES:
+                    yield self._batch(rows)
+                    rows, size_held = [], 0
+        finally:
+            held.close()
         if rows:
             yield self._batch(rows)
 
+    def _tried(self, held: _Handle, read: Callable, what: str) -> tuple:
+        """What read gives and no error, or nothing and the error of the last of all tries, each after the first on a fresh handle."""
+        for _ in range(self.retries + 1):
+            try:
+                return read(held.file()), None
+            except (OSError, ValueError, struct.error) as x:
+                error = f"{what}: {x}"
+                held.close()
+        if not self.mark:
+            raise ValueError(error)
+        return None, error
+
     @staticmethod
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
         kinds = (pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.string())
@@ -283,7 +312,7 @@ class MediaArchive(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         o = self.options
-        return _Reader(o["path"], int(o.get("range_bytes", 16 << 20)), int(o.get("retries", 2)), o.get("on_error") == "mark")
+        return _Reader(o["path"], int(o.get("range_bytes", 64 << 20)), int(o.get("retries", 2)), o.get("on_error") == "mark")
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         o = self.options
@@ -306,11 +335,17 @@ def read_media(spark: SparkSession, path: str, **options) -> DataFrame:
 def feature(payload: bytes) -> str:
     """Mean and spread of the samples, their crossings of the mean, and the shares of 16 bands of values."""
     x = np.frombuffer(payload, np.uint8)
-    total, squares = int(x.sum(dtype=np.int64)), int((x.astype(np.int64) ** 2).sum())
-    n = len(x)
-    above = x.astype(np.int64) * n > total
-    crossings = int(np.count_nonzero(above[1:] != above[:-1]))
-    bands = np.bincount(x >> 4, minlength=16) * 1000 // n
+    counts, n, crossings, before = np.zeros(256, np.int64), len(x), 0, None
+    for k in range(0, n, _PIECE):
+        counts += np.bincount(x[k : k + _PIECE], minlength=256)
+    values = np.arange(256)
+    total, squares = int((values * counts).sum()), int((values * values * counts).sum())
+    for k in range(0, n, _PIECE):
+        # A sample is above the mean if it is above its whole part.
+        above = x[k : k + _PIECE] > total // n
+        crossings += int(np.count_nonzero(above[1:] != above[:-1])) + (before is not None and bool(above[0]) != before)
+        before = bool(above[-1])
+    bands = counts.reshape(16, 16).sum(axis=1) * 1000 // n
     spread = max(0, squares * n - total * total) ** 0.5 / n
     return f"mean={total / n:.4f};spread={spread:.4f};crossings={crossings};bands=" + ".".join(map(str, bands.tolist()))
 

@@ -3,7 +3,7 @@
 Targets. Sources in code-point order (null last) weigh 5, 2, 1, repeating, and share the size of everything; a target stops
 at `most_passes` times its source's size and the excess is shared again by weight until none is above.
 
-Blocks. Each source's documents, in an order shuffled by a hash of doc_id, are laid end to end and cut into blocks of equal
+Blocks. Each source's documents, in an order shuffled by a hash of doc_id and text, are laid end to end and cut into blocks of equal
 numbers of words, about `block_words` each and at least `least_blocks` where the source has as many words.
 
 Schedule. Slots are the points of the binary van der Corput sequence. A source owns an interval of the
@@ -14,7 +14,8 @@ within a source (sums of a range of hashes, then sums within it). Stretches and
 they divide, so no task holds a whole source.
 
 Defined results: a null or empty text has size 0 and is never taken; sources of size 0 have target 0; a null doc_id is
-placed like any other; repeated rows are placed one after another; an empty table gives no rows.
+placed like any other, by its text; repeated rows are placed one after another; a very long text is counted and hashed by the
+JVM; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -79,8 +80,7 @@ def _places(sized: DataFrame, settings: Settings, n_rows: int) -> tuple[DataFram
     digits = 0
     while 16 ** (2 * digits) < n_rows:
         digits += 1
-    key = F.md5(F.concat(F.lit(settings.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key")
-    keyed = sized.select("*", key).withColumn("range", F.left("key", F.lit(digits)))
+    keyed = sized.withColumn("range", F.left("key", F.lit(digits)))
     totals = keyed.groupBy("source", "range").agg(F.sum("size").alias("total"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("source")
@@ -141,8 +141,10 @@ def _edge(block: Column) -> Column:
 def mix(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """doc_id, size, source_size, target and taken (words that the mix takes, repeats counted) of every document."""
     settings = settings or Settings()
+    # The text's hash keeps rows that share a doc_id, or have none, from meeting in one range of hashes.
+    key = F.md5(F.concat(F.lit(settings.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
     sized = scratch.table(
-        docs.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), words("text").alias("size")), "sizes"
+        docs.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), words("text").alias("size"), key.alias("key")), "sizes"
     )
     goals = scratch.table(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), settings), "targets")
     size = F.col("source_size")
@@ -201,11 +203,9 @@ def repeat_by_mix(docs: DataFrame, settings: Settings | None = None) -> DataFram
 
     Rows without doc_id take part like others; rows that share a doc_id share the words taken of all of them.
     """
-    rows = mix(docs, settings).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    times = rows.where("_size > 0").select(F.col("doc_id").alias("_doc"), F.round(F.col("_taken") / F.col("_size")).cast("int").alias("_times"))
-    return (
-        docs.join(times, docs["doc_id"].eqNullSafe(times["_doc"]))
-        .where("_times > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-        .select(*[docs[c] for c in docs.columns])
-    )
+    rows = mix(docs, settings).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    times = rows.where("size > 0").select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("times")).where("times > 0")
+    # The document is one column here, so none of its own can have the name of another.
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    joined = whole.join(times, whole["doc.doc_id"].eqNullSafe(times["doc_id"]))
+    return joined.select("doc", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("doc.*")

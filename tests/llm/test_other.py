@@ -4,6 +4,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from domgraph.llm import decontaminate, media, mixture, scratch, secrets
 
@@ -87,6 +88,23 @@ def test_a_damaged_member_fails_alone(spark, docs):
     assert got.where("error IS NOT NULL").count() == 1 and got.where("error IS NULL").count() == docs.count() - 1
     with pytest.raises(Exception, match="damaged"):
         media.read_media(spark, path, retries=0).collect()
+    open(file, "wb").write(data[:-60] + b"x" * 60)
+    got = media.read_media(spark, path, on_error="mark", retries=1, range_bytes=2000).collect()
+    assert [(r.doc_id, r.offset) for r in got] == [(None, -1)] and "directory" in got[0].error
+
+
+def test_features_by_brute_force(monkeypatch):
+    monkeypatch.setattr(media, "_PIECE", 50)
+    monkeypatch.setattr(media, "_ROWS", 2)
+    for text in ("", "a", words(1, 300), "é漢😀" * 100):
+        x = media.pad(text.encode())
+        mean = sum(x) / len(x)
+        spread = (sum(v * v for v in x) / len(x) - mean * mean) ** 0.5
+        above = [v * len(x) > sum(x) for v in x]
+        crossings = sum(a != b for a, b in zip(above, above[1:]))
+        bands = ".".join(str(sum(v // 16 == k for v in x) * 1000 // len(x)) for k in range(16))
+        assert media.feature(x) == f"mean={mean:.4f};spread={spread:.4f};crossings={crossings};bands={bands}"
+        assert media.from_png(media.to_png(x, 7)) == (x, 7)
 
 
 def test_empty_tables(spark, empty):
@@ -230,6 +248,32 @@ def test_mixture(request, which, rows, settings):
     assert out.columns == table.columns
 
 
+def test_whole_documents_keep_each_source_near_its_target(spark):
+    """A source's schedule cuts at most two of its documents, so whole copies miss its target by less than its longest text."""
+    rows = [(k, words(k, 5 + k * 7 % 90), None, f"s{k % 7 * k % 4}", 0) for k in range(400)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    goal = {(r.source_size, r.target) for r in mixture.mix(table).collect()}
+    total = {}
+    for r in rows:
+        total[r[3]] = total.get(r[3], 0) + len(r[1].split())
+    got = {}
+    for r in mixture.repeat_by_mix(table.withColumns({c: F.lit(1) for c in ("times", "copy", "doc", "_copy", "_times", "taken")})).collect():
+        got[r.source] = got.get(r.source, 0) + len(r.text.split())
+    for source, size in total.items():
+        (target,) = {t for n, t in goal if n == size}
+        assert abs(got.get(source, 0) - target) <= 95
+
+
+def test_rows_that_share_a_doc_id_are_spread(spark):
+    rows = [(None, words(k, 20), None, "a", 0) for k in range(64)]
+    placed, _ = mixture._places(
+        mixture.scratch.table(spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id", "source", "20L AS size", "md5('mix' || md5(text)) AS key"), "sizes"),
+        mixture.Settings(),
+        64,
+    )
+    assert placed.select("range").distinct().count() > 8
+
+
 def test_decontamination_with_a_long_item_beside_short_documents():
     """The long item's budget must not move the short item's bands into neighbouring documents."""
     items = [(1, words(950, 4000)), (2, words(951, 40))]
