@@ -67,3 +67,64 @@ def test_added_tokens_as_by_the_library(spark):
     for k, text in enumerate(texts):
         ids = np.array([*plain.encode(text, add_special_tokens=False).ids, 2], "<u4")
         assert got[k] == (len(ids), zlib.crc32(ids.tobytes()))
+
+
+def bytes_read(spark, rows):
+    """Bytes that the JVM reads from files while the rows are fetched."""
+
+    def total():
+        return sum(s.getBytesRead() for s in spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+
+    # Reads of several ranges at once aren't counted.
+    spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
+    before = total()
+    try:
+        return rows.collect(), total() - before
+    finally:
+        spark.conf.unset("parquet.hadoop.vectored.io.enabled")
+
+
+def test_a_range_reads_few_pages(spark):
+    random.seed(9)
+    texts = [(k, "s", " ".join(random.choice("abcdefgh") * random.randint(1, 9) for _ in range(300))) for k in range(4000)]
+    table = spark.createDataFrame(texts, "doc_id bigint, source string, text string")
+    path = scratch.new_path(spark, "range")
+    token_output.write_tokens(table, path, PATH, end_id=2, page_bytes=4 << 10, page_rows=16)
+    token_output.write_totals(spark, path)
+    whole, all_bytes = bytes_read(spark, token_output.read_range(spark, path, 0, 4000))
+    some, few_bytes = bytes_read(spark, token_output.read_range(spark, path, 2000, 2019))
+    names, name_bytes = bytes_read(spark, token_output.read_range(spark, path, 0, 4000, ("doc_id", "start", "n_tokens")))
+    assert sorted(r.doc_id for r in some) == list(range(2000, 2020)) and len(names) == 4000
+    assert {r.doc_id: (r.start, r.ids) for r in some}.items() <= {r.doc_id: (r.start, r.ids) for r in whole}.items()
+    assert few_bytes < all_bytes / 4 and name_bytes < all_bytes / 4
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "Lowercase"}}, {"add_prefix_space": True}])
+def test_other_pre_tokenizers_go_through_the_library(change):
+    import json
+
+    spec = json.load(open(PATH))
+    assert token_output.spelled_as_bytes(json.dumps(spec))
+    if "normalizer" in change:
+        spec |= change
+    else:
+        spec["pre_tokenizer"] |= change
+    spec = json.dumps(spec)
+    library, own = Tokenizer.from_str(spec), token_output.Encoder(spec, added_tokens=True)
+    for text in ("Hello World", "a  B", "", "x"):
+        assert own.ids(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_pieces_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(token_output, "_MOST_PIECE_BYTES", 5000)
+    own = token_output.Encoder(open(PATH).read())
+    for k in range(300):
+        own.ids(f"word{k} " + "q" * 5000)
+        assert sum(len(p) + len(i) for p, i in own.pieces.items()) < 6000
+
+
+def test_rows_that_share_a_doc_id_are_spread(spark):
+    table = spark.createDataFrame([(None, "s", f"text {k}") for k in range(400)], "doc_id bigint, source string, text string")
+    path = scratch.new_path(spark, "spread")
+    token_output.write_tokens(table, path, PATH, end_id=2)
+    assert spark.read.parquet(path).groupBy("part").count().agg({"count": "max"}).first()[0] < 300
