@@ -1,9 +1,13 @@
 """Isolation of every declaration: a rule-priority fixpoint over containers and superclasses.
 
 Isolations are the strings actor(X), globalActor(X), nonisolated and unspecified, which compare like what they stand for.
-Only declarations that are someone's container or superclass take part in the rounds; all others are decided in one
-final pass. A round decides every declaration whose consulted parents are decided. What is left lies on a cycle or
-below one, where the outcome depends on where the walk starts, and is resolved exactly, component by component.
+Only declarations that are someone's container or superclass take part in the passes; all others are decided in one
+last step. A pass decides every declaration whose consulted parents are decided. One that lacks a single parent is a function
+of that parent's isolation, which tells only its class apart (actor, global actor, nonisolated, unspecified) and gives either the
+parent's isolation itself or a constant. Such functions compose, so chains are followed by doubling: a chain of n takes log n
+steps. Chains that end nowhere lead into a ring, whose members are decided as the walk from each decides them: its guard finds
+the ring's start again, unspecified, so the value is that of the functions around the ring, taken of unspecified. What is below
+a ring is decided in the next pass. Rings that are tangled (members lack two parents) are walked exactly, with all that they reach.
 """
 
 from __future__ import annotations
@@ -65,9 +69,9 @@ def prepared(declarations: DataFrame, conformances: DataFrame) -> DataFrame:
     )
 
 
-def decision(default: str) -> Column:
-    """The isolation by priority from c_iso and s_iso, or null while a parent that comes first is undecided."""
-    c, s, nested = F.col("c_iso"), F.col("s_iso"), F.col("is_nested_type")
+def decision(default: str, c: Column | None = None, s: Column | None = None) -> Column:
+    """The isolation by priority from c and s (c_iso and s_iso), or null while a parent that comes first is undecided."""
+    c, s, nested = F.col("c_iso") if c is None else c, F.col("s_iso") if s is None else s, F.col("is_nested_type")
     has_c, has_s = F.col("container").isNotNull(), F.col("superclass").isNotNull()
     wait = F.lit(None).cast("string")
     return (
@@ -86,6 +90,17 @@ def decision(default: str) -> Column:
     )
 
 
+#: One isolation of each class, by the column that holds what a declaration makes of it (null: the isolation itself).
+_PROBES = {"of_actor": "actor(?)", "of_global": "globalActor(?)", "of_none": NONISOLATED, "of_unspecified": UNSPECIFIED}
+
+
+def _applied(iso: Column, prefix: str = "") -> Column:
+    """What a declaration's function makes of an isolation."""
+    kind = F.when(is_actor(iso), F.col(prefix + "of_actor")).when(is_global_actor(iso), F.col(prefix + "of_global"))
+    kind = kind.when(iso == NONISOLATED, F.col(prefix + "of_none")).otherwise(F.col(prefix + "of_unspecified"))
+    return F.coalesce(kind, iso)
+
+
 def _with_parents(rows: DataFrame, resolved: DataFrame) -> DataFrame:
     c = resolved.select(F.col("usr").alias("container"), F.col("iso").alias("c_iso"))
     s = resolved.select(F.col("usr").alias("superclass"), F.col("iso").alias("s_iso"))
@@ -99,22 +114,96 @@ def resolve(declarations: DataFrame, conformances: DataFrame, default: str = NON
     types = rows.join(parents, "usr", "left_semi")
     resolved = lineage.cut(types.where("terminal IS NOT NULL").select("usr", F.col("terminal").alias("iso")))
     pending = lineage.cut(types.where("terminal IS NULL"))
-    left = pending.count()
+    columns, left = pending.columns, pending.count()
     while left:
         step = lineage.cut(_with_parents(pending, resolved).withColumn("iso", decision(default)))
-        now = step.where("iso IS NULL").count()
-        resolved = resolved.unionByName(step.where("iso IS NOT NULL").select("usr", "iso"))
-        pending = step.where("iso IS NULL").select(*pending.columns)
-        if now == left:
-            resolved = resolved.unionByName(_cyclic(pending, resolved, default))
-            break
-        left = now
+        now = step.where("iso IS NOT NULL").select("usr", "iso")
+        chained = _chains(step.where("iso IS NULL"), default)
+        found, rings = _follow(chained, now.unionByName(resolved))
+        resolved = lineage.cut(resolved.unionByName(now).unionByName(found).unionByName(rings))
+        pending = step.select(columns).join(resolved, "usr", "left_anti")
+        after = pending.count()
+        if after == left:
+            resolved = lineage.cut(resolved.unionByName(_tangled(pending, resolved, default)))
+            pending = pending.join(resolved, "usr", "left_anti")
+            after = pending.count()
+        pending, left = lineage.cut(pending), after
     others = _with_parents(rows.join(parents, "usr", "left_anti"), resolved)
     return resolved.unionByName(others.select("usr", decision(default).alias("iso")))
 
 
+def _chains(waiting: DataFrame, default: str) -> DataFrame:
+    """usr, up (the one undecided parent) and the function of its isolation, of declarations that lack one parent."""
+    c_open = F.col("container").isNotNull() & F.col("c_iso").isNull()
+    s_open = F.col("superclass").isNotNull() & F.col("s_iso").isNull()
+    one = waiting.where((c_open & ~s_open) | (s_open & ~c_open))
+    made = {}
+    for name, probe in _PROBES.items():
+        value = decision(default, F.when(c_open, probe).otherwise(F.col("c_iso")), F.when(s_open, probe).otherwise(F.col("s_iso")))
+        made[name] = F.nullif(value, F.lit(probe)) if name in ("of_actor", "of_global") else value
+    return lineage.cut(one.select("usr", F.when(c_open, F.col("container")).otherwise(F.col("superclass")).alias("up"), *[v.alias(k) for k, v in made.items()]))
+
+
+def _follow(chains: DataFrame, decided: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(usr, iso) of the declarations whose chain ends at a decided one, and of those on rings."""
+    n, steps, state = chains.count(), 1, chains
+    while True:
+        above = state.select(F.col("usr").alias("up"), F.col("up").alias("_up"), *[F.col(k).alias(f"_{k}") for k in _PROBES])
+        joined = state.join(above, "up", "left")
+        # First what the parent makes of the isolation above it, then what the declaration makes of that.
+        made = {k: F.when(F.col("_up").isNull(), F.col(k)).when(F.col(f"_{k}").isNull(), F.col(k)).otherwise(_applied(F.col(f"_{k}"))) for k in _PROBES}
+        more = joined.select("usr", F.coalesce("_up", "up").alias("up"), F.col("_up").isNotNull().alias("more"), *[v.alias(k) for k, v in made.items()])
+        more = lineage.cut(more)
+        state = more.drop("more")
+        steps *= 2
+        if steps > 2 * n or not more.where("more").limit(1).count():
+            break
+    ends = decided.select(F.col("usr").alias("up"), F.col("iso").alias("end"))
+    found = state.join(ends, "up").select("usr", _applied(F.col("end")).alias("iso"))
+    # After as many steps as there are declarations, what has no end stands on a ring, and every member of one is stood on.
+    on = state.join(chains.select(F.col("usr").alias("up")), "up", "left_semi").select(F.col("up").alias("usr")).distinct()
+    ring = lineage.cut(chains.join(on, "usr", "left_semi"))
+    return found, _rings(ring)
+
+
+def _rings(ring: DataFrame) -> DataFrame:
+    """usr and iso of the members of rings (usr, up and functions)."""
+    n, steps = ring.count(), 1
+    if not n:
+        return ring.select("usr", F.lit(None).cast("string").alias("iso"))
+    label = ring.select("usr", "up", F.col("usr").alias("ring"))
+    while steps < n:
+        above = label.select(F.col("usr").alias("up"), F.col("up").alias("_up"), F.col("ring").alias("_ring"))
+        label = lineage.cut(label.join(above, "up").select("usr", F.col("_up").alias("up"), F.least("ring", "_ring").alias("ring")))
+        steps *= 2
+
+    def around(group: pd.DataFrame) -> pd.DataFrame:
+        rows = {r.usr: r for r in group.itertuples()}
+        order = [group["usr"].iloc[0]]
+        while (up := rows[order[-1]].up) != order[0]:
+            order.append(up)
+        made = [tuple(None if pd.isna(v) else v for v in (getattr(rows[u], k) for k in _PROBES)) for u in order]
+        values = [UNSPECIFIED] * len(order)
+        # Of every member the functions of as many members as there are, composed by doubling.
+        done, size = 0, len(order)
+        while size >> done:
+            if size >> done & 1:
+                ahead = size & ~((2 << done) - 1)
+                values = [_of(made[(k + ahead) % len(order)], v) for k, v in enumerate(values)]
+            made = [tuple(made[k][i] if y is None else _of(made[k], y) for i, y in enumerate(made[(k + (1 << done)) % len(order)])) for k in range(len(order))]
+            done += 1
+        return pd.DataFrame({"usr": order, "iso": values})
+
+    return ring.join(label.select("usr", "ring"), "usr").groupBy("ring").applyInPandas(around, "usr string, iso string")
+
+
+def _of(made: tuple, iso: str) -> str:
+    kind = 0 if iso.startswith("actor(") else 1 if iso.startswith("globalActor(") else 2 if iso == NONISOLATED else 3
+    return iso if made[kind] is None else made[kind]
+
+
 def _components(pending: DataFrame) -> DataFrame:
-    """usr and component of the undecided: the smallest usr that is linked to it by undecided parents."""
+    """usr and component: the smallest usr that is linked to it by parents among them."""
     nodes = pending.select("usr", F.col("usr").alias("component"))
     links = pending.select("usr", F.explode(F.array("container", "superclass")).alias("other")).where("other IS NOT NULL")
     links = links.join(nodes.select(F.col("usr").alias("other")), "other", "left_semi")
@@ -122,43 +211,87 @@ def _components(pending: DataFrame) -> DataFrame:
     labels = lineage.cut(nodes)
     while True:
         near = links.join(labels.withColumnRenamed("usr", "other"), "other").select("usr", "component")
-        after = lineage.cut(labels.unionByName(near).groupBy("usr").agg(F.min("component").alias("component")))
+        after = labels.unionByName(near).groupBy("usr").agg(F.min("component").alias("component"))
+        # A label is a usr too, whose own label is as good.
+        held = labels.select(F.col("usr").alias("component"), F.col("component").alias("_jump"))
+        after = lineage.cut(after.join(held, "component", "left").select("usr", F.least("component", F.coalesce("_jump", "component")).alias("component")))
         moved = after.join(labels.withColumnRenamed("component", "old"), "usr").where("component <> old").limit(1).count()
         labels = after
         if not moved:
             return labels
 
 
-def _cyclic(pending: DataFrame, resolved: DataFrame, default: str) -> DataFrame:
-    """Exact walks for the undecided, each from itself with a guard against its own path."""
-    rows = _with_parents(pending, resolved).join(_components(pending), "usr")
+def _tangled(pending: DataFrame, resolved: DataFrame, default: str) -> DataFrame:
+    """Exact walks for tangled rings and what they reach, each from itself with a guard against its own path.
+
+    Every undecided declaration waits for one parent first; following those leads onto rings, by doubling. The rest, which is only
+    below, is left for the passes.
+    """
+    rows = lineage.cut(_with_parents(pending, resolved))
+    c_open = F.col("container").isNotNull() & F.col("c_iso").isNull()
+    first = F.when(c_open & ~F.col("is_nested_type"), F.col("container"))
+    first = F.coalesce(first, F.when(F.col("superclass").isNotNull() & F.col("s_iso").isNull(), F.col("superclass")), F.col("container"))
+    state, n, steps = lineage.cut(rows.select("usr", first.alias("up"))), rows.count(), 1
+    while steps <= n:
+        above = state.select(F.col("usr").alias("up"), F.col("up").alias("_up"))
+        state = lineage.cut(state.join(above, "up").select("usr", F.col("_up").alias("up")))
+        steps *= 2
+    core = lineage.cut(state.select(F.col("up").alias("usr")).distinct())
+    while True:
+        ups = rows.join(core, "usr", "left_semi").select(F.explode(F.array("container", "superclass")).alias("usr")).where("usr IS NOT NULL")
+        new = lineage.cut(ups.distinct().join(rows, "usr", "left_semi").join(core, "usr", "left_anti"))
+        if not new.limit(1).count():
+            break
+        core = lineage.cut(core.union(new))
+    rows = rows.join(core, "usr", "left_semi")
+    rows = rows.join(_components(lineage.cut(rows)), "usr")
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         nodes = {r.usr: r for r in group.itertuples()}
 
-        def iso_of(usr: str | None, decided: str | None, path: frozenset) -> str | None:
-            if pd.isna(usr):
-                return None
-            return decided if not pd.isna(decided) else iso(usr, path)
-
-        def iso(usr: str, path: frozenset) -> str:
-            if usr in path:
-                return UNSPECIFIED
-            r, path = nodes[usr], path | {usr}
-            if not r.is_nested_type and (c := iso_of(r.container, r.c_iso, path)):
+        def iso(usr: str, path: frozenset):
+            """A walk as a generator: it yields the declarations that it asks for, with its path, and is sent their isolation."""
+            r = nodes[usr]
+            known = lambda parent, decided: not pd.isna(parent) and not pd.isna(decided)
+            c = s = None
+            if not pd.isna(r.container) and not r.is_nested_type:
+                c = r.c_iso if known(r.container, r.c_iso) else (yield r.container, path)
                 if c.startswith("actor(") and not r.is_static_member or c.startswith("globalActor("):
                     return c
-            if (s := iso_of(r.superclass, r.s_iso, path)) and s.startswith("globalActor("):
-                return s
+            if not pd.isna(r.superclass):
+                s = r.s_iso if known(r.superclass, r.s_iso) else (yield r.superclass, path)
+                if s.startswith("globalActor("):
+                    return s
             if not pd.isna(r.conf_actor):
                 return f"globalActor({r.conf_actor})"
             if not r.eligible_default:
                 return NONISOLATED
-            if r.is_nested_type and iso_of(r.container, r.c_iso, path) in (None, NONISOLATED):
-                return NONISOLATED
+            if r.is_nested_type:
+                if pd.isna(r.container):
+                    return NONISOLATED
+                c = r.c_iso if known(r.container, r.c_iso) else (yield r.container, path)
+                if c == NONISOLATED:
+                    return NONISOLATED
             return default
 
-        return pd.DataFrame({"usr": list(nodes), "iso": [iso(u, frozenset()) for u in nodes]})
+        def run(usr: str) -> str:
+            stack, said = [iso(usr, frozenset([usr]))], None
+            while True:
+                try:
+                    asked, path = stack[-1].send(said)
+                except StopIteration as end:
+                    stack.pop()
+                    said = end.value
+                    if not stack:
+                        return said
+                    continue
+                if asked in path:
+                    said = UNSPECIFIED
+                else:
+                    stack.append(iso(asked, path | {asked}))
+                    said = None
+
+        return pd.DataFrame({"usr": list(nodes), "iso": [run(u) for u in nodes]})
 
     return rows.groupBy("component").applyInPandas(walk, "usr string, iso string")
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -101,6 +102,37 @@ def slow(declarations, conformances, default):
     return {u: iso(u, frozenset()) for u in rows}
 
 
+@pytest.mark.parametrize("default", ["nonisolated", MAIN])
+def test_rings_with_all_kinds_of_members(spark, default):
+    """Rings of one to six members that lack one parent, with declarations below them."""
+    rng = random.Random(5)
+    rows, conformances = [], []
+    for ring in range(120):
+        size = rng.randint(1, 6)
+        names = [f"r{ring}.{k}" for k in range(size)]
+        for k, n in enumerate(names):
+            up, nested = names[(k + 1) % size], rng.random() < 0.5
+            c, s = (up, rng.choice([None, "g", "n"])) if rng.random() < 0.6 else (rng.choice([None, "g", "n", "a"]), up)
+            rows.append(declaration(n, n, None, False, c, rng.random() < 0.5, s, rng.random() < 0.8, None, nested))
+            if rng.random() < 0.3:
+                conformances.append((n, 0, "P", "X", True, False))
+            rows.append(declaration(f"{n}.below", n, None, False, n, False, None, True, None, rng.random() < 0.5))
+            rows.append(declaration(f"{n}.lower", n, None, False, f"{n}.below", False, n, True, None, rng.random() < 0.5))
+    rows += [declaration("g", explicit="globalActor(G)"), declaration("n", explicit="nonisolated"), declaration("a", "A", actor=True)]
+    assert run(spark, rows, conformances, default) == slow(rows, conformances, default)
+
+
+def test_a_long_chain_below_a_ring(spark):
+    n = 20_000
+    rows = [declaration("u0", container="u1"), declaration("u1", container="u0")]
+    rows += [declaration(f"u{k}", container=f"u{k - 1}" if k % 3 else None, superclass=None if k % 3 else f"u{k - 1}", nested=k % 5 == 0) for k in range(2, n)]
+    rows += [declaration(f"m{k}", explicit=MAIN if k == 0 else None, superclass=f"m{k - 1}") for k in range(n)]
+    began = time.time()
+    got = run(spark, rows, default="nonisolated")
+    assert time.time() - began < 90
+    assert {got[f"m{k}"] for k in range(n)} == {MAIN} and {got[f"u{k}"] for k in range(n)} == {"nonisolated"}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_random_graphs_with_cycles(spark, seed):
     rng = random.Random(seed)
