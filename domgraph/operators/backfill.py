@@ -134,12 +134,16 @@ def matcher_chain(callees: DataFrame, declarations: DataFrame, bulk: DataFrame)
 
 
 def needs(declarations: DataFrame, conformances: DataFrame, backfilled: DataFrame) -> DataFrame:
-    """Parents and protocol pairs that no located declaration and no fact answers: kind, usr, target, pair_of."""
+    """Parents that no located declaration and no fact answers, and protocol pairs that could give an actor (stated with
+    the type or with the witness) and whose protocol is no located declaration: kind, usr, target, pair_of."""
     open_ = declarations.where("explicit_isolation IS NULL AND enclosing_extension_isolation IS NULL")
-    have = declarations.where("file IS NOT NULL").select("usr").union(backfilled.select("usr")).distinct().withColumnRenamed("usr", "target")
+    located = declarations.where("file IS NOT NULL").select(F.col("usr").alias("target"))
+    have = located.union(backfilled.select("usr")).distinct()
     parents = open_.select("usr", F.explode(F.map_from_arrays(F.array(F.lit("superclass"), F.lit("container")), F.array("superclass_usr", "containing_type_usr"))).alias("kind", "target"))
     parents = parents.where("target IS NOT NULL").join(have, "target", "left_anti").withColumn("pair_of", F.lit(None).cast("string"))
-    pairs = conformances.where(F.col("protocol_global_actor_name").isNull() & ~F.col("protocol_usr").isin(*NEVER_ACTOR))
+    counts = F.col("same_file_as_primary") | F.col("same_context_as_witness")
+    pairs = conformances.where(F.col("protocol_global_actor_name").isNull() & counts & ~F.col("protocol_usr").isin(*NEVER_ACTOR))
+    pairs = pairs.join(located.select(F.col("target").alias("protocol_usr")), "protocol_usr", "left_anti")
     pairs = pairs.join(open_.select("usr", F.col("containing_type_usr").alias("c")), "usr")
     pairs = pairs.select("usr", F.lit("pair").alias("kind"), F.col("protocol_usr").alias("target"), F.coalesce("c", "usr").alias("pair_of"))
     return parents.select("usr", "kind", "target", "pair_of").unionByName(pairs)

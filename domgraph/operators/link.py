@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from domgraph import schemas
+from domgraph.functions import grammar
 from domgraph.operators.resolve import first_by, transitive
 
 PLACEHOLDER = "syntactic:"
@@ -25,10 +26,18 @@ def in_scope(occurrences: DataFrame, modules: list[str]) -> DataFrame:
     return occurrences.where(F.col("is_system") | F.col("module").isin(modules))
 
 
+def skipped_units(occurrences: DataFrame, modules: list[str]) -> DataFrame:
+    """One row with `skipped`, the number of units that are out of scope."""
+    out = occurrences.where(~(F.col("is_system") | F.col("module").isin(modules)))
+    return out.select("module").distinct().agg(F.count("*").alias("skipped"))
+
+
 def once_per_record(occurrences: DataFrame) -> DataFrame:
-    """Each record counts in the first unit that holds it."""
-    firsts = occurrences.groupBy("record").agg(F.min("module").alias("module"))
-    return occurrences.join(firsts, ["record", "module"], "left_semi")
+    """Each record counts in the first unit that holds it. Give it the occurrences in scope: a unit that is out of
+    scope holds no record for others."""
+    unit = F.struct("module", "is_system")
+    firsts = occurrences.groupBy("record").agg(F.min(unit).alias("unit")).select("record", "unit.module", "unit.is_system")
+    return occurrences.join(firsts, ["record", "module", "is_system"], "left_semi")
 
 
 def match_locations(declarations: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -109,6 +118,14 @@ def merge(declarations: DataFrame) -> DataFrame:
     return merged.select("*", "place.file", "place.line", "place.col").drop("place")
 
 
+def merge_conformances(conformances: DataFrame, declarations: DataFrame) -> DataFrame:
+    """A1: the conformances of all rows of a usr, one after another by the rows' ord (conformances: usr, ord, idx, ...), numbered
+    anew within the usr."""
+    place = F.row_number().over(Window.partitionBy("usr").orderBy("ord", "idx")) - 1
+    kept = conformances.join(declarations.select("usr").distinct(), "usr", "left_semi")
+    return kept.withColumn("idx", place.cast("int")).drop("ord")
+
+
 def unique_base(relations: DataFrame, via: DataFrame | None = None) -> DataFrame:
     """Nominal, name and base usr, where a nominal's base name stands for one symbol.
 
@@ -123,12 +140,22 @@ def unique_base(relations: DataFrame, via: DataFrame | None = None) -> DataFrame
 
 
 def extended_type(relations: DataFrame) -> DataFrame:
-    """Member and type: child of an extension that extends the type."""
-    extension = relations.where(F.col("role") == schemas.CHILD_OF).groupBy("usr").agg(F.min_by("target_usr", "ordinal").alias("extension"))
+    """Member and type: child, where it is defined, of an extension that extends the type."""
+    defined = (F.col("role") == schemas.CHILD_OF) & has_role(F.col("occurrence_roles"), schemas.DEFINITION)
+    extension = relations.where(defined).groupBy("usr").agg(F.min_by("target_usr", "ordinal").alias("extension"))
     extended = relations.where(F.col("role") == schemas.EXTENDED_BY).groupBy(F.col("target_usr").alias("extension")).agg(F.min("usr").alias("type_usr"))
     return extension.join(extended, "extension").select(F.col("usr").alias("member"), "type_usr")
 
 
+def with_extended_type(declarations: DataFrame, relations: DataFrame) -> DataFrame:
+    """Declarations whose container is a placeholder, while they themselves are known, under the type that their extension
+    extends."""
+    found = extended_type(relations).select(F.col("member").alias("usr"), "type_usr")
+    open_ = F.col("containing_type_usr").startswith(PLACEHOLDER) & ~F.col("usr").startswith(PLACEHOLDER)
+    container = F.when(open_, F.coalesce("type_usr", "containing_type_usr")).otherwise(F.col("containing_type_usr"))
+    return declarations.join(found, "usr", "left").withColumn("containing_type_usr", container).select(*declarations.columns)
+
+
 def accessor_owner(relations: DataFrame) -> DataFrame:
     """Accessor and owner, where exactly one property owns it; definitions' relations are preferred."""
     owners = relations.where(F.col("role") == schemas.ACCESSOR_OF)
@@ -144,10 +171,15 @@ def accessor_owner(relations: DataFrame) -> DataFrame:
 
 
 def canonical(edges: DataFrame, owners: DataFrame) -> DataFrame:
-    """Edges with accessors replaced by their property at both ends."""
+    """Edges with accessors replaced by their property at both ends; one that isn't found is looked for again without
+    its module's qualifier."""
+    columns = edges.columns
     for side in ("caller_usr", "callee_usr"):
         named = owners.select(F.col("accessor").alias(side), F.col("owner").alias("_owner"))
-        edges = edges.join(named, side, "left").withColumn(side, F.coalesce("_owner", side)).drop("_owner")
+        bare = owners.select(F.col("accessor").alias("_bare"), F.col("owner").alias("_other"))
+        edges = edges.withColumn("_bare", grammar.without_module_qualifier(F.col(side)))
+        edges = edges.join(named, side, "left").join(bare, "_bare", "left")
+        edges = edges.withColumn(side, F.coalesce("_owner", "_other", side)).select(*columns)
     return edges
 
 
@@ -156,11 +188,23 @@ def without_setters(setters: DataFrame, getters: DataFrame) -> DataFrame:
     return setters.join(getters.select("file", "line", "col").distinct(), ["file", "line", "col"], "left_anti")
 
 
-def calls(occurrences: DataFrame, relations: DataFrame) -> DataFrame:
-    """Call occurrences with the first relation that tells the caller."""
+#: What tells one occurrence from another.
+OCCURRENCE_KEY = ["record", "file", "line", "col", "usr"]
+
+
+def call_sites(occurrences: DataFrame, relations: DataFrame) -> DataFrame:
+    """Call occurrences, each with the first of its own relations that tells a caller: calls and the callee's name."""
     sites = occurrences.where(has_role(F.col("roles"), schemas.CALL))
-    callers = relations.where(F.col("role") == schemas.CALLED_BY).groupBy("usr").agg(F.min_by("target_usr", "ordinal").alias("caller_usr"))
-    return sites.join(callers, "usr").select("caller_usr", F.col("usr").alias("callee_usr"), "file", "line", "col")
+    callers = relations.where(has_role(F.col("role"), schemas.CALLED_BY)).groupBy(*OCCURRENCE_KEY).agg(F.min_by("target_usr", F.struct("ordinal", "target_usr")).alias("caller_usr"))
+    return sites.join(callers, OCCURRENCE_KEY).select("caller_usr", F.col("usr").alias("callee_usr"), "file", "line", "col", "name")
+
+
+def calls(occurrences: DataFrame, relations: DataFrame) -> DataFrame:
+    """The calls of all occurrences; a setter's counts only where no getter is called."""
+    sites = call_sites(occurrences, relations)
+    setters, getters = sites.where(F.col("name").startswith("setter:")), sites.where(F.col("name").startswith("getter:"))
+    others = sites.where(~F.col("name").startswith("setter:"))
+    return others.unionByName(without_setters(setters, getters)).drop("name")
 
 
 def call_graph(edges: DataFrame, known: DataFrame, files: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from domgraph.lineage import numbered
+
 
 def manifest(files: DataFrame) -> DataFrame:
     """File and the SHA-256 of its content."""
@@ -41,25 +43,24 @@ def action(index_exists: bool, state: str, force: bool, auto: bool) -> str:
 
 
 def balanced_chunks(items: DataFrame, n: int) -> DataFrame:
-    """Items (file, ...) with their chunk: whole files in order, about as many files a chunk.
-
-    The rank of a file needs one row a file, so only the distinct files are ordered.
-    """
-    files = items.select("file").distinct()
-    size = F.greatest(F.lit(1), F.floor(F.count("*").over(Window.partitionBy()) / n))
-    place = F.row_number().over(Window.orderBy("file")) - 1
+    """Items (file, ...) with their chunk: whole files in order, about as many files a chunk."""
+    files = numbered(items.select("file").distinct(), ["file"], "place")
+    size = F.greatest(F.lit(1), F.floor(F.lit(files.count()) / n))
+    place = F.col("place")
     chunks = files.select("file", F.least(F.lit(n - 1), F.floor(place / size)).cast("int").alias("chunk"))
     return items.join(chunks, "file")
 
 
 def closest_name(requested: DataFrame, available: DataFrame) -> DataFrame:
     """requested and the closest available name within max(1, a third of the length), else null; ties go to the smaller."""
-    # A handful of names typed by a user against the project's schemes: every pair is compared.
-    pairs = requested.select("requested").crossJoin(F.broadcast(available.select("name")))
-    pairs = pairs.withColumn("distance", F.levenshtein("requested", "name"))
-    best = pairs.groupBy("requested").agg(F.min(F.struct("distance", "name")).alias("best"))
-    most = F.greatest(F.lit(1), F.floor(F.char_length("requested") / 3))
-    return best.select("requested", F.when(F.col("best.distance") <= most, F.col("best.name")).alias("suggestion"))
+    most = F.greatest(F.lit(1), F.floor(F.char_length("requested") / 3)).cast("int")
+    # A name within so many edits is at most so much longer or shorter, so names meet by length.
+    wanted = requested.select("requested", most.alias("most"), F.char_length("requested").alias("n")).distinct()
+    lengths = wanted.withColumn("length", F.explode(F.sequence(F.greatest(F.lit(0), F.col("n") - F.col("most")), F.col("n") + F.col("most"))))
+    names = available.select("name", F.char_length("name").alias("length")).distinct()
+    near = lengths.join(names, "length").withColumn("distance", F.levenshtein("requested", "name")).where("distance <= most")
+    best = near.groupBy("requested").agg(F.min(F.struct("distance", "name")).alias("best"))
+    return wanted.select("requested").join(best, "requested", "left").select("requested", F.col("best.name").alias("suggestion"))
 
 
 def statistics_delta(before: DataFrame, after: DataFrame) -> DataFrame:

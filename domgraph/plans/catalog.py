@@ -321,14 +321,20 @@ def dot_lines(spark, sf_dir):
 
 @query
 def scope_filter(spark, sf_dir):
-    """Definitions in scope, each record counted in its first module."""
+    """Definitions in scope, each record counted in the first unit of those in scope that hold it."""
     occurrences = fact(spark, sf_dir, "occurrence")
-    return link.definitions(link.in_scope(link.once_per_record(occurrences), ["M1", "M3"]))
+    return link.definitions(link.once_per_record(link.in_scope(occurrences, ["M1", "M3"])))
+
+
+@query
+def skipped_units(spark, sf_dir):
+    """How many units are out of scope."""
+    return link.skipped_units(fact(spark, sf_dir, "occurrence"), ["M1", "M3"])
 
 
 @query
 def call_projection(spark, sf_dir):
-    """Call occurrences with their caller."""
+    """Call occurrences with their own caller; setters where no getter is called."""
     return link.calls(*_facts(spark, sf_dir, "occurrence", "relation"))
 
 
@@ -338,6 +344,18 @@ def extended_type(spark, sf_dir):
     return link.extended_type(fact(spark, sf_dir, "relation"))
 
 
+@query
+def extension_containers(spark, sf_dir):
+    """Members of extensions whose container is a placeholder, under the extended type."""
+    declarations, relations = _facts(spark, sf_dir, "declaration", "relation")
+    placed = declarations.where("usr LIKE 'O%'").withColumns(
+        {
+            "containing_type_usr": F.when(F.col("ord") % 2 == 0, F.concat(F.lit(link.PLACEHOLDER), "containing_type_usr")).otherwise(F.col("containing_type_usr")),
+        }
+    )
+    return link.with_extended_type(placed, relations).select("usr", "containing_type_usr")
+
+
 @query
 def conformance_actor(spark, sf_dir):
     """Actors of placeholder protocols filled in."""

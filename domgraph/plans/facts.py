@@ -100,7 +100,11 @@ FACTS: dict[str, str] = {
         FROM customer WHERE c_custkey % 5 = 1
         UNION ALL
         SELECT {_key("C", "c_custkey")}, 1, {_key("Q", "c_custkey % 5")}, 'IndexActor', c_custkey % 3 = 0, true
-        FROM customer WHERE c_custkey % 10 = 6""",
+        FROM customer WHERE c_custkey % 10 = 6
+        UNION ALL
+        SELECT {_key("C", "c_custkey")}, 2, CASE WHEN c_custkey % 20 = 1 THEN 's:s8SendableP' WHEN c_custkey % 20 = 6 THEN 's:s16SendableMetatypeP'
+               ELSE {_key("N", "c_nationkey")} END, CAST(NULL AS STRING), c_custkey % 2 = 1, c_custkey % 3 = 1
+        FROM customer WHERE c_custkey % 5 = 1""",
     "call_edge": f"""
         SELECT {_key("O", "l_orderkey")} AS caller_usr,
                CASE WHEN l_partkey % 41 = 0 THEN {_key("X", "l_partkey")} WHEN l_partkey % 2 = 0 THEN {_key("P", "l_partkey")}
@@ -135,32 +139,45 @@ FACTS: dict[str, str] = {
         SELECT {_key("Q", "p_partkey")} AS protocol, {_key("Q", _half("p_partkey"))} AS parent FROM part WHERE p_partkey >= 1
         UNION ALL SELECT 'Q1', 'Q7'""",
     "occurrence": f"""
-        SELECT {_key("O", "l_orderkey")} AS usr, {_key("order", "l_orderkey")} AS name,
+        SELECT {_key("O", "l_orderkey")} AS usr,
+               CASE WHEN l_orderkey % 9 = 1 THEN 'setter:' WHEN l_orderkey % 9 = 2 THEN 'getter:' ELSE '' END || {_key("order", "l_orderkey")} AS name,
                CAST(CASE WHEN l_partkey % 3 = 0 THEN 2 WHEN l_partkey % 3 = 1 THEN 32 ELSE 34 END AS BIGINT) AS roles,
                {_key("F", "l_orderkey % 97")} AS file, CAST(l_linenumber * 10 AS INT) AS line, CAST(l_partkey % 80 + 1 AS INT) AS col,
                {_key("M", "l_suppkey % 5")} AS module, l_suppkey % 11 = 0 AS is_system, {_key("rec", "l_orderkey % 1000")} AS record
         FROM lineitem""",
-    # Relations of occurrences: accessors of properties, calls, bases, extensions.
+    # Relations of occurrences: callers of each call, accessors of properties, bases, extensions.
     "relation": f"""
-        SELECT {_key("O", "o_orderkey")} AS usr, CAST(32768 AS BIGINT) AS role, {_key("V", "o_custkey % 50")} AS target_usr,
-               {_key("v", "o_custkey % 50")} AS target_name, CAST(CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 4 END AS BIGINT) AS occurrence_roles,
-               CAST(o_orderkey % 100 AS INT) AS ordinal
+        SELECT {_key("O", "l_orderkey")} AS usr, CAST(8192 AS BIGINT) AS role, {_key("C", "(l_suppkey + l_linenumber) % 40")} AS target_usr,
+               {_key("c", "(l_suppkey + l_linenumber) % 40")} AS target_name, CAST(32 AS BIGINT) AS occurrence_roles, 2 AS ordinal,
+               {_key("rec", "l_orderkey % 1000")} AS record, {_key("F", "l_orderkey % 97")} AS file, CAST(l_linenumber * 10 AS INT) AS line,
+               CAST(l_partkey % 80 + 1 AS INT) AS col
+        FROM lineitem WHERE l_suppkey % 7 <> 0
+        UNION ALL
+        SELECT {_key("O", "l_orderkey")}, 8192, {_key("C", "l_partkey % 30")}, {_key("c", "l_partkey % 30")}, 32, 1,
+               {_key("rec", "l_orderkey % 1000")}, {_key("F", "l_orderkey % 97")}, CAST(l_linenumber * 10 AS INT), CAST(l_partkey % 80 + 1 AS INT)
+        FROM lineitem WHERE l_suppkey % 3 = 0
+        UNION ALL
+        SELECT {_key("O", "o_orderkey")}, 32768, {_key("V", "o_custkey % 50")}, {_key("v", "o_custkey % 50")},
+               CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 4 END, CAST(o_orderkey % 100 AS INT), 'rec', 'orders.src', CAST(o_orderkey AS INT), 1
         FROM orders WHERE o_orderkey % 3 = 0
         UNION ALL
         SELECT {_key("O", "o_orderkey")}, 32768, {_key("V", "o_custkey % 70")}, {_key("v", "o_custkey % 70")},
-               CASE WHEN o_orderkey % 8 = 0 THEN 2 ELSE 4 END, CAST(o_orderkey % 100 + 1 AS INT)
+               CASE WHEN o_orderkey % 8 = 0 THEN 2 ELSE 4 END, CAST(o_orderkey % 100 + 1 AS INT), 'rec', 'orders.src', CAST(o_orderkey AS INT), 1
         FROM orders WHERE o_orderkey % 6 = 0
         UNION ALL
-        SELECT {_key("N", "c_nationkey")}, 1024, {_key("s:B", "c_custkey % 40")}, {_key("B", "c_custkey % 33")}, 4, CAST(c_custkey AS INT)
+        SELECT {_key("N", "c_nationkey")}, 1024, {_key("s:B", "c_custkey % 40")}, {_key("B", "c_custkey % 33")}, 4, CAST(c_custkey AS INT),
+               'rec', 'customer.src', CAST(c_custkey AS INT), 1
         FROM customer WHERE c_custkey % 2 = 0
         UNION ALL
-        SELECT {_key("O", "o_orderkey")}, 8192, {_key("C", "o_custkey")}, {_key("c", "o_custkey")}, 4, CAST(o_custkey % 10 AS INT)
-        FROM orders WHERE o_orderkey % 4 = 1
-        UNION ALL
-        SELECT {_key("O", "o_orderkey")}, 512, {_key("E", "o_custkey % 90")}, {_key("e", "o_custkey % 90")}, 4, CAST(o_custkey % 10 AS INT)
+        SELECT {_key("O", "o_orderkey")}, 512, {_key("E", "o_custkey % 90")}, {_key("e", "o_custkey % 90")}, CASE WHEN o_orderkey % 3 = 0 THEN 4 ELSE 2 END,
+               CAST(o_custkey % 10 AS INT), 'rec', 'orders.src', CAST(o_orderkey AS INT), 1
         FROM orders WHERE o_orderkey % 5 = 2
         UNION ALL
-        SELECT {_key("N", "c_nationkey")}, 16384, {_key("E", "c_custkey")}, {_key("e", "c_custkey")}, 4, 0
+        SELECT {_key("O", "o_orderkey")}, 512, {_key("E", "o_custkey % 60")}, {_key("e", "o_custkey % 60")}, 4, -1, 'rec', 'orders.src',
+               CAST(o_orderkey AS INT), 1
+        FROM orders WHERE o_orderkey % 10 = 2
+        UNION ALL
+        SELECT {_key("N", "c_nationkey")}, 16384, {_key("E", "c_custkey")}, {_key("e", "c_custkey")}, 4, 0, 'rec', 'customer.src', CAST(c_custkey AS INT), 1
         FROM customer WHERE c_custkey < 70""",
     "mangled": f"""
         SELECT p_partkey, CASE p_partkey % 9
@@ -181,10 +198,11 @@ def fact(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One fact table over the Parquet files of sf_dir."""
     # The one function whose name differs between the engines.
     sql = re.sub(r"SHA256\((.*?)\) AS", r"sha2(\1, 256) AS", FACTS[name])
-    for table in TABLES:
-        if table in sql:
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    return spark.sql(sql)
+    # Tables are named by their files, so that the session keeps no views.
+    found = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"FROM {t}\b", sql)}
+    for table in found:
+        sql = re.sub(rf"FROM {table}\b", f"FROM {{{table}}}", sql)
+    return spark.sql(sql, **found)
 
 
 def ctes(*names: str) -> str:

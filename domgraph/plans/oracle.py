@@ -131,6 +131,12 @@ _CHAIN = """walk(usr, signal, superclass) AS (
   UNION ALL SELECT w.usr, d.explicit_isolation, d.superclass_usr FROM walk w JOIN declaration d ON d.usr = w.superclass WHERE w.signal IS NULL),
 chain AS (SELECT usr, coalesce(max(signal), 'nonisolated') AS chain_isolation FROM walk GROUP BY usr)"""
 
+#: Members by the definitions among their occurrences alone, from the rows that the relations are made of.
+_EXTENDED = """extended AS (
+  SELECT 'O' || CAST(o_orderkey AS STRING) AS member, 'N' || CAST(c_nationkey AS STRING) AS type_usr
+  FROM orders JOIN customer ON c_custkey = o_custkey % 90 AND c_custkey < 70
+  WHERE o_orderkey % 5 = 2 AND o_orderkey % 3 <> 0)"""
+
 #: The shapes of the generated names, read by their known parts rather than by the grammar.
 _FORMS = """forms AS MATERIALIZED (
   SELECT p_partkey, usr,
@@ -264,16 +270,26 @@ SELECT least(7, place // greatest(1, n // 8))::INT AS chunk, count(DISTINCT file
   SELECT requested, n_name AS name, levenshtein(requested, n_name) AS distance FROM wanted, nation),
 best AS (SELECT *, row_number() OVER (PARTITION BY requested ORDER BY distance, name) AS nth FROM pairs)
 SELECT requested, CASE WHEN distance <= greatest(1, length(requested) // 3) THEN name END AS suggestion FROM best WHERE nth = 1""",
-    "scope_filter": f"""WITH {ctes("occurrence")}, firsts AS (SELECT record, min(module) AS module FROM occurrence GROUP BY record)
-SELECT usr, name, file, line, col FROM occurrence o JOIN firsts f ON f.record = o.record AND f.module = o.module
-WHERE (is_system OR o.module IN ('M1', 'M3')) AND roles & 2 <> 0""",
-    "call_projection": f"""WITH {ctes("occurrence", "relation")}
-SELECT arg_min(target_usr, ordinal) AS caller_usr, o.usr AS callee_usr, file, line, col
-FROM (SELECT *, row_number() OVER () AS n FROM occurrence WHERE roles & 32 <> 0) o JOIN relation r ON r.usr = o.usr AND role = 8192
-GROUP BY n, o.usr, file, line, col""",
-    "extended_type": f"""WITH {ctes("relation")}, child AS (SELECT usr, arg_min(target_usr, ordinal) AS extension FROM relation WHERE role = 512 GROUP BY usr),
-extended AS (SELECT target_usr AS extension, min(usr) AS type_usr FROM relation WHERE role = 16384 GROUP BY target_usr)
-SELECT usr AS member, type_usr FROM child JOIN extended USING (extension)""",
+    # Units of modules M1 and M3 and of the system are read in order; a record counts in the first of them that holds it.
+    "scope_filter": f"""WITH {ctes("occurrence")}, allowed AS (SELECT * FROM occurrence WHERE is_system OR module = 'M1' OR module = 'M3'),
+ranked AS (SELECT *, dense_rank() OVER (PARTITION BY record ORDER BY module, is_system) AS unit FROM allowed)
+SELECT usr, name, file, line, col FROM ranked WHERE unit = 1 AND roles & 2 <> 0""",
+    "skipped_units": f"""WITH {ctes("occurrence")} SELECT count(DISTINCT module)::BIGINT AS skipped FROM occurrence WHERE NOT is_system AND module IN ('M0', 'M2', 'M4')""",
+    # From the rows that the calls are made of; rows of one order, line and column are one occurrence.
+    "call_projection": """WITH rows AS (
+  SELECT *, 'F' || CAST(l_orderkey % 97 AS STRING) AS file, (l_linenumber * 10)::INT AS line, (l_partkey % 80 + 1)::INT AS col FROM lineitem
+), told AS (
+  SELECT l_orderkey, line, col, 1 AS nth, 'C' || CAST(l_partkey % 30 AS STRING) AS caller FROM rows WHERE l_suppkey % 3 = 0
+  UNION ALL SELECT l_orderkey, line, col, 2, 'C' || CAST((l_suppkey + l_linenumber) % 40 AS STRING) FROM rows WHERE l_suppkey % 7 <> 0
+), callers AS (
+  SELECT l_orderkey, line, col, caller FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, line, col ORDER BY nth, caller) AS k FROM told) WHERE k = 1
+), called AS (SELECT caller, l_orderkey, file, line, col FROM rows JOIN callers USING (l_orderkey, line, col) WHERE l_partkey % 3 <> 0)
+SELECT caller AS caller_usr, 'O' || CAST(l_orderkey AS STRING) AS callee_usr, file, line, col FROM called s
+WHERE l_orderkey % 9 <> 1 OR NOT EXISTS (SELECT 1 FROM called g WHERE g.l_orderkey % 9 = 2 AND g.file = s.file AND g.line = s.line AND g.col = s.col)""",
+    "extended_type": f"""WITH {_EXTENDED} SELECT member, type_usr FROM extended""",
+    "extension_containers": f"""WITH {_EXTENDED}, {ctes("declaration")}
+SELECT d.usr, CASE WHEN ord % 2 = 0 THEN coalesce(type_usr, 'syntactic:' || containing_type_usr) ELSE containing_type_usr END AS containing_type_usr
+FROM declaration d LEFT JOIN extended ON member = d.usr WHERE d.usr LIKE 'O%'""",
     "conformance_actor": f"""WITH {ctes("conformance")}
 SELECT usr, idx, 'syntactic:' || protocol_usr AS protocol_usr, coalesce(protocol_global_actor_name,
     CASE WHEN protocol_usr = 'Q1' THEN 'DataActor' WHEN protocol_usr = 'Q4' THEN 'IndexActor'
@@ -289,7 +305,9 @@ have AS (SELECT usr FROM declaration WHERE ord % 4 <> 0 OR ord % 8 = 0)
 SELECT usr, 'superclass' AS kind, superclass_usr AS target, NULL AS pair_of FROM open WHERE superclass_usr IS NOT NULL AND superclass_usr NOT IN (SELECT usr FROM have)
 UNION ALL SELECT usr, 'container', containing_type_usr, NULL FROM open WHERE containing_type_usr IS NOT NULL AND containing_type_usr NOT IN (SELECT usr FROM have)
 UNION ALL SELECT c.usr, 'pair', protocol_usr, coalesce(containing_type_usr, c.usr) FROM conformance c JOIN open o ON o.usr = c.usr
-WHERE protocol_global_actor_name IS NULL""",
+WHERE protocol_global_actor_name IS NULL AND (same_file_as_primary OR same_context_as_witness)
+  AND protocol_usr NOT IN ('s:s8SendableP', 's:s16SendableMetatypeP')
+  AND NOT EXISTS (SELECT 1 FROM declaration p WHERE p.usr = protocol_usr AND p.ord % 4 <> 0)""",
     "query_outcomes": f"""WITH {ctes("declaration")}
 SELECT usr, CASE WHEN ord % 3 = 0 THEN 'nonisolated' WHEN ord % 2 = 0 THEN 'globalActor(MainActor)' END AS isolation, ord % 3 <> 0 AND ord % 2 <> 0 AS is_unknown
 FROM declaration WHERE usr LIKE 'P%'""",

@@ -77,16 +77,20 @@ def split_tokens(lines: pd.Series) -> pd.Series:
 def package_build_log(spark: SparkSession, path: str) -> DataFrame:
     """File and args from the front-end calls of a package's build log; the last call of a file counts.
 
-    With -primary-file only the files it names belong to a call; else all its sources do (whole-module builds).
+    A call is a line whose first word ends in swift-frontend and that has -frontend. With -primary-file the files it names
+    belong to it; else, with -wmo, all its sources do; another call compiles no file.
     """
     calls = lines(spark, path).where(F.col("line").contains("swift-frontend"))
     calls = calls.select("line_no", split_tokens("line").alias("all")).withColumn("args", F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))))
+    command = F.get("all", 0).endswith("swift-frontend") & F.array_contains("args", "-frontend")
+    calls = calls.where(command)
     primary = F.transform(
         F.filter(F.arrays_zip(F.col("args").alias("flag"), F.slice("args", 2, F.size("args")).alias("value")), lambda p: p["flag"] == "-primary-file"),
         lambda p: p["value"],
     )
     sources = F.filter("args", lambda a: a.endswith(".swift"))
-    files = calls.select("line_no", "args", F.explode(F.when(F.size(primary) > 0, primary).otherwise(sources)).alias("file"))
+    files = calls.select("line_no", "args", F.explode(F.when(F.size(primary) > 0, primary).when(F.array_contains("args", "-wmo"), sources)).alias("file"))
+    files = files.where("file IS NOT NULL")
     return files.groupBy("file").agg(F.max_by("args", "line_no").alias("args"))
 
 

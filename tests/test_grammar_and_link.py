@@ -64,8 +64,51 @@ def test_locations(spark):
 
 def test_accessors_need_one_owner(spark):
     rows = [("g1", 1 << 15, "p1", "p", 4, 0), ("g2", 1 << 15, "p1", "p", 4, 0), ("g2", 1 << 15, "p2", "p", 4, 1), ("g3", 1 << 15, "p1", "p", 4, 0), ("g3", 1 << 15, "p2", "p", 2, 1)]
-    got = {r.accessor: r.owner for r in link.accessor_owner(spark.createDataFrame(rows, schemas.RELATION)).collect()}
-    assert got == {"g1": "p1", "g3": "p2"}
+    rows += [("c:objc(cs)K(im)x", 1 << 15, "c:objc(cs)K(py)x", "x", 2, 0)]
+    owners = link.accessor_owner(spark.createDataFrame([(*r, "rec", "F", 1, 1) for r in rows], schemas.RELATION))
+    assert {r.accessor: r.owner for r in owners.collect()} == {"g1": "p1", "g3": "p2", "c:objc(cs)K(im)x": "c:objc(cs)K(py)x"}
+    edges = spark.createDataFrame([("g1", "c:@CM@Mod@@objc(cs)K(im)x", "F", 1, 1), ("c:objc(cs)K(im)x", "g2", "F", 2, 1)], schemas.CALL_EDGE)
+    assert [(r.caller_usr, r.callee_usr) for r in link.canonical(edges, owners).orderBy("line").collect()] == [("p1", "c:objc(cs)K(py)x"), ("c:objc(cs)K(py)x", "g2")]
+
+
+def occurrence(usr, name, roles, line, module="M", system=False, record="r"):
+    return (usr, name, roles, "F", line, 1, module, system, record)
+
+
+def test_each_call_keeps_its_own_caller(spark):
+    """One callee called from two functions; a setter counts unless a getter is called at the same place."""
+    seen = [occurrence("callee", "callee()", 32, 1), occurrence("callee", "callee()", 32, 2), occurrence("callee", "callee()", 2, 9)]
+    seen += [occurrence("s", "setter:x", 32, 3), occurrence("g", "getter:x", 32, 3), occurrence("s", "setter:x", 32, 4), occurrence("lost", "lost()", 32, 5)]
+    relations = [("callee", 8192, "one", "one", 32, 0, "r", "F", 1, 1), ("callee", 8192, "late", "late", 32, 1, "r", "F", 1, 1), ("callee", 8192, "two", "two", 32, 0, "r", "F", 2, 1)]
+    relations += [(u, 8192, "one", "one", 32, 0, "r", "F", n, 1) for u, n in (("s", 3), ("g", 3), ("s", 4))] + [("lost", 512, "one", "one", 32, 0, "r", "F", 5, 1)]
+    got = link.calls(spark.createDataFrame(seen, schemas.OCCURRENCE), spark.createDataFrame(relations, schemas.RELATION)).collect()
+    assert sorted((r.caller_usr, r.callee_usr, r.line) for r in got) == [("one", "callee", 1), ("one", "g", 3), ("one", "s", 4), ("two", "callee", 2)]
+
+
+def test_a_record_counts_in_the_first_unit_in_scope(spark):
+    rows = [occurrence("a", "a", 2, 1, "App"), occurrence("a", "a", 2, 1, "Tests"), occurrence("b", "b", 2, 2, "Lib", record="q"), occurrence("c", "c", 2, 3, "Kit", True, "k")]
+    seen = spark.createDataFrame(rows, schemas.OCCURRENCE)
+    kept = link.once_per_record(link.in_scope(seen, ["Tests"])).collect()
+    assert sorted((r.usr, r.module) for r in kept) == [("a", "Tests"), ("c", "Kit")]
+    assert link.skipped_units(seen, ["Tests"]).first().skipped == 2
+
+
+def test_extended_types_of_definitions_alone(spark):
+    rows = [("m", 512, "other", "o", 4, 0), ("m", 512, "ext", "e", 2, 1), ("T", 16384, "ext", "e", 4, 0), ("U", 16384, "other", "o", 4, 0), ("n", 512, "ext", "e", 4, 0)]
+    relations = spark.createDataFrame([(*r, "r", "F", 1, 1) for r in rows], schemas.RELATION)
+    assert [tuple(r) for r in link.extended_type(relations).collect()] == [("m", "T")]
+    held = [("m", "syntactic:T"), ("n", "syntactic:T"), ("syntactic:T.m#1", "syntactic:T"), ("k", "T")]
+    table = spark.createDataFrame(held + [("m", "real")], "usr string, containing_type_usr string")
+    assert sorted(tuple(r) for r in link.with_extended_type(table, relations).collect()) == sorted([("m", "T"), ("m", "real"), *held[1:]])
+
+
+def test_pairs_that_need_an_answer(spark):
+    declared = [(u, u, None, False, "nominal", False, None, True, None, False, f, 1, 1, False, False, 0) for u, f in (("w", "F"), ("local", "F"), ("placeless", None))]
+    pairs = [("w", 0, "open", None, True, False), ("w", 1, "witness", None, False, True), ("w", 2, "apart", None, False, False), ("w", 3, "local", None, True, True), ("w", 4, "placeless", None, True, True)]
+    pairs += [("w", 5, "named", "MainActor", True, True), ("w", 6, "s:s8SendableP", None, True, True), ("w", 7, "s:s16SendableMetatypeP", None, True, True)]
+    d, c = spark.createDataFrame(declared, schemas.DECLARATION), spark.createDataFrame(pairs, schemas.CONFORMANCE)
+    got = backfill.needs(d, c, spark.createDataFrame([("nominal",)], "usr string")).collect()
+    assert sorted((r.kind, r.target, r.pair_of) for r in got) == [("pair", "open", "nominal"), ("pair", "placeless", "nominal"), ("pair", "witness", "nominal")]
 
 
 def test_fragments(spark):
@@ -97,7 +140,11 @@ def test_arguments_are_sanitized(spark):
 
 def test_logs_and_settings(spark, tmp_path):
     log = tmp_path / "build.log"
-    log.write_text("noise\nswift-frontend -c -primary-file A.swift B.swift -O\nswift-frontend -c -wmo C.swift D.swift\nswift-frontend -c -primary-file A.swift -last\n")
+    log.write_text(
+        "noise\n/bin/swift-frontend -frontend -c -primary-file A.swift B.swift -O\nswift-frontend -frontend -c -wmo C.swift D.swift\n"
+        "swift-frontend -frontend -c -primary-file A.swift -last\nswift-frontend -frontend -emit-module A.swift C.swift\n"
+        "swift-frontend -c -primary-file A.swift\necho swift-frontend -frontend -primary-file A.swift\n"
+    )
     got = {r.file: r.args for r in readers.package_build_log(spark, str(log)).collect()}
     assert set(got) == {"A.swift", "C.swift", "D.swift"} and got["A.swift"][-1] == "-last"
     settings = tmp_path / "settings"
