@@ -61,17 +61,18 @@ def placeholder_map(declarations: DataFrame, matched: DataFrame) -> DataFrame:
 
 
 def bare_name(usr: Column) -> Column:
-    """The last component of a qualified placeholder."""
-    return F.substring_index(F.substring_index(F.substring(usr, len(PLACEHOLDER) + 1, 1 << 30), ".", -1), "#", 1)
+    """A placeholder without its mark."""
+    return F.substring(usr, len(PLACEHOLDER) + 1, 1 << 30)
 
 
 def rewrite(rows: DataFrame, column: str, mapping: DataFrame, overrides: DataFrame | None = None, unreadable: DataFrame | None = None) -> DataFrame:
-    """Column with placeholders replaced: by override, by the map, by the only qualified key of that bare name.
+    """Column with placeholders replaced: by override, by the map, by the only nested type that ends in its name.
 
     Rows of files in `unreadable` (file) are left as they are.
     """
     by_key = mapping.select(F.col("usr").alias(column), F.col("real_usr").alias("_by_key"))
-    unique = mapping.select(bare_name(F.col("usr")).alias("_bare"), "real_usr").groupBy("_bare").agg(F.count("*").alias("n"), F.min("real_usr").alias("_by_name"))
+    nested = mapping.where(F.contains(bare_name(F.col("usr")), F.lit(".")))
+    unique = nested.select(F.substring_index("usr", ".", -1).alias("_bare"), "real_usr").groupBy("_bare").agg(F.count("*").alias("n"), F.min("real_usr").alias("_by_name"))
     out = rows.withColumn("_bare", F.when(F.col(column).startswith(PLACEHOLDER), bare_name(F.col(column))))
     out = out.join(by_key, column, "left").join(unique.where("n = 1").select("_bare", "_by_name"), "_bare", "left")
     new = F.coalesce("_by_key", "_by_name", column)
@@ -127,18 +128,24 @@ def merge_conformances(conformances: DataFrame, declarations: DataFrame) -> Data
 
 
 def unique_base(relations: DataFrame, via: DataFrame | None = None) -> DataFrame:
-    """Nominal, name and base usr, where a nominal's base name stands for one symbol.
+    """Nominal, name and base usr, where a nominal's base name stands for one symbol. A base relates to its nominal.
 
     via (nominal, extension): extensions whose base relations count for the nominal.
     """
-    bases = relations.where(F.col("role") == schemas.BASE_OF).select(F.col("usr").alias("nominal"), F.col("target_name").alias("name"), "target_usr")
+    bases = relations.where(has_role(F.col("role"), schemas.BASE_OF)).select(F.col("target_usr").alias("nominal"), "name", F.col("usr").alias("base"))
     if via is not None:
-        through = bases.withColumnRenamed("nominal", "extension").join(via, "extension").select("nominal", "name", "target_usr")
+        through = bases.withColumnRenamed("nominal", "extension").join(via, "extension").select("nominal", "name", "base")
         bases = bases.unionByName(through)
-    found = bases.groupBy("nominal", "name").agg(F.min("target_usr").alias("base_usr"), F.max("target_usr").alias("other"))
+    found = bases.groupBy("nominal", "name").agg(F.min("base").alias("base_usr"), F.max("base").alias("other"))
     return found.where("base_usr = other").drop("other")
 
 
+def by_base(rows: DataFrame, column: str, bases: DataFrame) -> DataFrame:
+    """column's placeholders replaced by the base of that name of the row's `nominal`, if there is one."""
+    named = bases.select("nominal", F.concat(F.lit(PLACEHOLDER), "name").alias(column), F.col("base_usr").alias("_base"))
+    return rows.join(named, ["nominal", column], "left").withColumn(column, F.coalesce("_base", column)).select(*rows.columns)
+
+
 def extended_type(relations: DataFrame) -> DataFrame:
     """Member and type: child, where it is defined, of an extension that extends the type."""
     defined = (F.col("role") == schemas.CHILD_OF) & has_role(F.col("occurrence_roles"), schemas.DEFINITION)
@@ -232,11 +239,13 @@ def protocol_closure(parents: DataFrame) -> DataFrame:
 
 
 def with_ancestors(conformances: DataFrame, closure: DataFrame) -> DataFrame:
-    """Conformances with one for each ancestor not declared, with the flags of the first that reaches it (D3)."""
+    """Conformances with one for each ancestor not declared, with the flags of the first that reaches it (D3) and without its
+    actor, which is that protocol's own."""
     own = conformances.select("usr", "protocol_usr")
     reached = conformances.join(closure.select(F.col("protocol").alias("protocol_usr"), "ancestor"), "protocol_usr")
     reached = reached.join(own.withColumnRenamed("protocol_usr", "ancestor"), ["usr", "ancestor"], "left_anti")
     added = first_by(reached, ["usr", "ancestor"], [F.col("idx")]).withColumn("protocol_usr", F.col("ancestor")).drop("ancestor")
+    added = added.withColumn("protocol_global_actor_name", F.lit(None).cast("string"))
     return conformances.unionByName(added.select(*conformances.columns))
 
 

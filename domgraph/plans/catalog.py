@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from domgraph.functions import grammar
-from domgraph.operators import backfill, intervals, link, report, resolve, staleness
+from domgraph.operators import backfill, intervals, link, project, report, resolve, staleness
 from domgraph.plans import sinks
 from domgraph.plans.facts import fact
 from domgraph.plans.oracle import ORACLES as ORACLES
+from domgraph.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -442,3 +443,95 @@ def module_eligibility(spark, sf_dir):
     bound = F.array(F.when(F.col("p_size") % 5 == 0, "Sendable").otherwise("Equatable"))
     rows = spark.read.parquet(f"{sf_dir}/part.parquet")
     return rows.select("p_partkey", staleness.default_eligible(kinds, F.col("p_size") % 7 == 0, bound).alias("eligible"))
+
+
+@query
+def reference_rewrite(spark, sf_dir):
+    """Placeholders by override, by key, by the only nested type of that name; files without symbols keep theirs."""
+    rows = fact(spark, sf_dir, "reference")
+    names = fact(spark, sf_dir, "placeholder_name")
+    return link.rewrite(rows, "ref", names.where("kind = 'map'").drop("kind"), names.where("kind = 'override'").drop("kind"), spark.sql("SELECT 'F3' AS file"))
+
+
+@query
+def live_answers(spark, sf_dir):
+    """The symbol that each live query's answers come to."""
+    return backfill.select_symbol(fact(spark, sf_dir, "cursor_answer")).select("target_usr", "usr", "name")
+
+
+@query
+def fragment_isolation(spark, sf_dir):
+    """isolation by declaration fragments."""
+    piece = lambda kind, spelling, precise=None: F.struct(F.lit(kind).alias("kind"), spelling.alias("spelling"), F.lit(precise).cast("string").alias("preciseIdentifier"))
+    p = F.col("p_partkey")
+    own = F.concat(F.lit("@A"), (p % 4).cast("string"))
+    fragments = (
+        F.when(p % 5 == 0, F.array(piece("text", F.lit("var ")), piece("attribute", F.lit("@MainActor"), "s:ScM"), piece("keyword", F.lit("nonisolated"))))
+        .when(p % 5 == 1, F.array(piece("keyword", F.lit("nonisolated")), piece("attribute", own)))
+        .when(p % 5 == 2, F.array(piece("attribute", F.lit("@objc")), piece("attribute", own)))
+        .when(p % 5 == 3, F.array(piece("text", own)))
+        .otherwise(F.array().cast("array<struct<kind: string, spelling: string, preciseIdentifier: string>>"))
+    )
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", fragments.alias("fragments"))
+    return rows.select("p_partkey", backfill.fragment_isolation("fragments", ["A1", "A2"]).alias("isolation"))
+
+
+@query
+def scheme_list(spark, sf_dir):
+    """Products with their targets, and targets that are no product."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    targets = nations.select(F.col("n_name").alias("name"), F.concat(F.lit("Sources/"), "n_name").alias("path"))
+    products = nations.where("n_nationkey % 5 = 0").select(F.col("n_name").alias("name"), F.array("n_name", F.lit("NOWHERE"), F.lit("FRANCE")).alias("targets"))
+    return staleness.schemes(products, targets)
+
+
+@query
+def first_arguments(spark, sf_dir):
+    """The value of a flag in the first file that has arguments."""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey > 17").select(
+        F.col("p_partkey").alias("ord"), F.array(F.lit("-O"), F.lit("-sdk"), F.concat(F.lit("/sdk/"), F.col("p_partkey").cast("string"))).alias("args")
+    )
+    found = [staleness.first_arguments(rows, flag).withColumn("flag", F.lit(flag)) for flag in ("-sdk", "-target")]
+    return found[0].unionByName(found[1])
+
+
+@query
+def first_file_wins(spark, sf_dir):
+    """Of the actors that files give a protocol that of the first file."""
+    rows = fact(spark, sf_dir, "conformance").where("protocol_global_actor_name IS NOT NULL").select(
+        F.col("protocol_usr").alias("protocol"), F.concat(F.lit("A"), "usr").alias("actor"), F.concat(F.lit("file"), "usr").alias("file")
+    )
+    return link.first_wins(rows, ["protocol"], "actor", "file")
+
+
+@query
+def text_decisions(spark, sf_dir):
+    """Versions, platforms, identities, names, offsets and escapes."""
+    number = F.col("p_partkey").cast("string")
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(
+        "p_partkey",
+        F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Apple Swift version "), (F.col("p_partkey") % 7).cast("string"), F.lit(".2 (x)"))).otherwise("none").alias("banner"),
+        F.concat(F.lit("arm64-apple-"), F.when(F.col("p_partkey") % 2 == 0, "ios").otherwise("macosx"), number).alias("triple"),
+        F.concat(F.lit("a b-"), number, F.lit(".c")).alias("name"),
+        F.concat(F.lit("ü"), number, F.lit("\nzwei é\n3")).alias("text"),
+        F.concat(F.lit("a\\ b\\\\"), number).alias("escaped"),
+        F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("__C.S.x.getter : "), number)).otherwise(F.concat(F.lit("M.S.x.getter : "), number)).alias("demangled"),
+        (F.col("p_partkey") % 5).cast("int").alias("line"),
+    )
+    return rows.select(
+        "p_partkey",
+        staleness.compiler_version("banner").alias("version"),
+        readers.platform_of(F.col("triple")).alias("platform"),
+        staleness.sanitized_name("name").alias("sanitized"),
+        staleness.path_identity("name").alias("identity"),
+        readers.byte_offset(F.col("text"), F.col("line"), F.lit(2)).alias("offset"),
+        staleness.unescaped("escaped").alias("plain"),
+        grammar.is_demangled_struct_member(F.col("demangled")).alias("struct_member"),
+    )
+
+
+@query
+def work_items(spark, sf_dir):
+    """O2: declarations in order of file and place, file by file."""
+    rows = fact(spark, sf_dir, "call_edge").select(F.col("callee_usr").alias("usr"), "file", "line", "col").distinct()
+    return project.ordered_items(rows, 8)

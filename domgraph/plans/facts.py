@@ -150,35 +150,51 @@ FACTS: dict[str, str] = {
         SELECT {_key("O", "l_orderkey")} AS usr, CAST(8192 AS BIGINT) AS role, {_key("C", "(l_suppkey + l_linenumber) % 40")} AS target_usr,
                {_key("c", "(l_suppkey + l_linenumber) % 40")} AS target_name, CAST(32 AS BIGINT) AS occurrence_roles, 2 AS ordinal,
                {_key("rec", "l_orderkey % 1000")} AS record, {_key("F", "l_orderkey % 97")} AS file, CAST(l_linenumber * 10 AS INT) AS line,
-               CAST(l_partkey % 80 + 1 AS INT) AS col
+               CAST(l_partkey % 80 + 1 AS INT) AS col, {_key("order", "l_orderkey")} AS name
         FROM lineitem WHERE l_suppkey % 7 <> 0
         UNION ALL
         SELECT {_key("O", "l_orderkey")}, 8192, {_key("C", "l_partkey % 30")}, {_key("c", "l_partkey % 30")}, 32, 1,
-               {_key("rec", "l_orderkey % 1000")}, {_key("F", "l_orderkey % 97")}, CAST(l_linenumber * 10 AS INT), CAST(l_partkey % 80 + 1 AS INT)
+               {_key("rec", "l_orderkey % 1000")}, {_key("F", "l_orderkey % 97")}, CAST(l_linenumber * 10 AS INT), CAST(l_partkey % 80 + 1 AS INT),
+               {_key("order", "l_orderkey")}
         FROM lineitem WHERE l_suppkey % 3 = 0
         UNION ALL
         SELECT {_key("O", "o_orderkey")}, 32768, {_key("V", "o_custkey % 50")}, {_key("v", "o_custkey % 50")},
-               CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 4 END, CAST(o_orderkey % 100 AS INT), 'rec', 'orders.src', CAST(o_orderkey AS INT), 1
+               CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 4 END, CAST(o_orderkey % 100 AS INT), 'rec', 'orders.src', CAST(o_orderkey AS INT), 1, {_key("order", "o_orderkey")}
         FROM orders WHERE o_orderkey % 3 = 0
         UNION ALL
         SELECT {_key("O", "o_orderkey")}, 32768, {_key("V", "o_custkey % 70")}, {_key("v", "o_custkey % 70")},
-               CASE WHEN o_orderkey % 8 = 0 THEN 2 ELSE 4 END, CAST(o_orderkey % 100 + 1 AS INT), 'rec', 'orders.src', CAST(o_orderkey AS INT), 1
+               CASE WHEN o_orderkey % 8 = 0 THEN 2 ELSE 4 END, CAST(o_orderkey % 100 + 1 AS INT), 'rec', 'orders.src', CAST(o_orderkey AS INT), 1, {_key("order", "o_orderkey")}
         FROM orders WHERE o_orderkey % 6 = 0
         UNION ALL
-        SELECT {_key("N", "c_nationkey")}, 1024, {_key("s:B", "c_custkey % 40")}, {_key("B", "c_custkey % 33")}, 4, CAST(c_custkey AS INT),
-               'rec', 'customer.src', CAST(c_custkey AS INT), 1
+        SELECT {_key("s:B", "c_custkey % 40")}, 1024, {_key("N", "c_nationkey")}, {_key("N", "c_nationkey")}, 4, CAST(c_custkey AS INT),
+               'rec', 'customer.src', CAST(c_custkey AS INT), 1, {_key("B", "c_custkey % 33")}
         FROM customer WHERE c_custkey % 2 = 0
         UNION ALL
         SELECT {_key("O", "o_orderkey")}, 512, {_key("E", "o_custkey % 90")}, {_key("e", "o_custkey % 90")}, CASE WHEN o_orderkey % 3 = 0 THEN 4 ELSE 2 END,
-               CAST(o_custkey % 10 AS INT), 'rec', 'orders.src', CAST(o_orderkey AS INT), 1
+               CAST(o_custkey % 10 AS INT), 'rec', 'orders.src', CAST(o_orderkey AS INT), 1, {_key("order", "o_orderkey")}
         FROM orders WHERE o_orderkey % 5 = 2
         UNION ALL
         SELECT {_key("O", "o_orderkey")}, 512, {_key("E", "o_custkey % 60")}, {_key("e", "o_custkey % 60")}, 4, -1, 'rec', 'orders.src',
-               CAST(o_orderkey AS INT), 1
+               CAST(o_orderkey AS INT), 1, {_key("order", "o_orderkey")}
         FROM orders WHERE o_orderkey % 10 = 2
         UNION ALL
-        SELECT {_key("N", "c_nationkey")}, 16384, {_key("E", "c_custkey")}, {_key("e", "c_custkey")}, 4, 0, 'rec', 'customer.src', CAST(c_custkey AS INT), 1
+        SELECT {_key("N", "c_nationkey")}, 16384, {_key("E", "c_custkey")}, {_key("e", "c_custkey")}, 4, 0, 'rec', 'customer.src', CAST(c_custkey AS INT), 1, {_key("N", "c_nationkey")}
         FROM customer WHERE c_custkey < 70""",
+    "reference": f"""
+        SELECT c_custkey, 'syntactic:' || CASE WHEN c_custkey % 3 = 0 THEN {_key("Top", "c_custkey % 40")} WHEN c_custkey % 3 = 1 THEN {_key("In", "c_custkey % 60")}
+               ELSE {_key("Out3.In", "c_custkey % 9")} END AS ref, {_key("F", "c_custkey % 7")} AS file
+        FROM customer""",
+    "placeholder_name": f"""
+        SELECT 'map' AS kind, {_key("syntactic:Top", "s_suppkey")} AS usr, {_key("s:t", "s_suppkey")} AS real_usr FROM supplier WHERE s_suppkey % 2 = 0
+        UNION ALL SELECT 'map', {_key("syntactic:Out", "s_suppkey")} || {_key(".In", "s_suppkey % 40")}, {_key("s:i", "s_suppkey")} FROM supplier WHERE s_suppkey < 50
+        UNION ALL SELECT 'override', {_key("syntactic:Top", "s_suppkey")}, {_key("s:o", "s_suppkey")} FROM supplier WHERE s_suppkey % 6 = 0""",
+    "cursor_answer": f"""
+        SELECT CASE WHEN p_partkey % 3 = 1 THEN {_key("s:4Mod", "p_partkey")} ELSE 's:So' || CAST(length(nm) AS STRING) || nm || 'a3oneABvgZ' END AS target_usr, k AS ordinal,
+               CASE WHEN p_partkey % 3 = 1 AND k = 1 THEN {_key("s:4Mod", "p_partkey")} || '::SYNTHESIZED::s:x' WHEN k = 1 THEN 'c:@y' ELSE 'c:@E@x' END AS usr,
+               CASE WHEN k = 1 THEN 'one' ELSE 'two' END AS name, CASE WHEN p_partkey % 3 = 0 THEN 'source.lang.objc' ELSE 'source.lang.swift' END AS decl_lang,
+               '$sSo' || CAST(length(nm) AS STRING) || nm || 'amD' AS container_type_usr, CAST(NULL AS STRING) AS symbol_graph, CAST(NULL AS STRING) AS annotated_xml
+        FROM (SELECT p_partkey, 'T' || CAST(p_partkey AS STRING) || 'x' AS nm, 0 AS k FROM part
+              UNION ALL SELECT p_partkey, 'T' || CAST(p_partkey AS STRING) || 'x', 1 FROM part WHERE p_partkey % 6 <> 0) answered""",
     "mangled": f"""
         SELECT p_partkey, CASE p_partkey % 9
           WHEN 0 THEN 's:So6CGSizeV' || CAST(length(nm) AS STRING) || nm || '14CoreFoundation7CGFloatVvg'

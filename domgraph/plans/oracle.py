@@ -112,6 +112,16 @@ def reported() -> str:
     )
 
 
+_DRAWN = """points AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY usr, name) - 1 AS n FROM (
+    SELECT d.usr, name, iso AS isolation FROM declaration d JOIN resolved r ON r.usr = d.usr
+    UNION ALL SELECT DISTINCT usr, usr, 'unspecified' FROM (SELECT caller_usr AS usr FROM reported UNION SELECT callee_usr FROM reported)
+    WHERE usr NOT IN (SELECT usr FROM declaration))),
+drawn AS MATERIALIZED (
+  SELECT e.*, row_number() OVER (ORDER BY caller_usr, callee_usr, e.file, e.line, risk, is_unknown, is_awaited) - 1 AS n, a.n AS a, b.n AS b,
+         CASE WHEN is_unknown THEN '#9e9e9e' WHEN risk = 'high' THEN '#e53935' WHEN risk = 'medium' THEN '#fb8c00' ELSE '#43a047' END AS colour
+  FROM reported e JOIN points a ON a.usr = caller_usr JOIN points b ON b.usr = callee_usr)"""
+
 _UNCERTAIN = "(caller_isolation = 'unspecified' OR callee_isolation = 'unspecified' OR is_unknown)"
 
 _ANCESTORS = """up(protocol, ancestor) AS (
@@ -191,7 +201,7 @@ reached AS (
   FROM conformance c JOIN up ON up.protocol = c.protocol_usr AND up.protocol <> ancestor
   WHERE NOT EXISTS (SELECT 1 FROM conformance o WHERE o.usr = c.usr AND o.protocol_usr = ancestor))
 SELECT * FROM conformance UNION ALL
-SELECT usr, idx, ancestor, protocol_global_actor_name, same_file_as_primary, same_context_as_witness FROM reached WHERE nth = 1""",
+SELECT usr, idx, ancestor, NULL, same_file_as_primary, same_context_as_witness FROM reached WHERE nth = 1""",
     "location_link": f"WITH {ctes('declaration', 'indexed_symbol')}, {_MATCHED} SELECT * FROM matched",
     "own_identity": f"""WITH {ctes("declaration", "indexed_symbol")}, {_MATCHED}
 SELECT coalesce(real_usr, d.usr) AS usr, name, d.file, d.line FROM declaration d LEFT JOIN matched m ON m.usr = d.usr""",
@@ -216,8 +226,8 @@ AND NOT EXISTS (SELECT 1 FROM call_edge g WHERE CAST(substr(g.callee_usr, 2) AS
                 AND g.file = e.file AND g.line = e.line AND g.col = e.col)""",
     "call_graph_union": f"""WITH {ctes("call_edge", "declaration")} SELECT * FROM call_edge
 WHERE callee_usr IN (SELECT usr FROM declaration) OR file IN (SELECT file FROM call_edge WHERE line % 3 = 0 AND col > 78)""",
-    "base_of": f"""WITH {ctes("relation")} SELECT usr AS nominal, target_name AS name, min(target_usr) AS base_usr FROM relation
-WHERE role = 1024 GROUP BY usr, target_name HAVING count(DISTINCT target_usr) = 1""",
+    "base_of": f"""WITH {ctes("relation")} SELECT target_usr AS nominal, name, min(usr) AS base_usr FROM relation
+WHERE role = 1024 GROUP BY target_usr, name HAVING count(DISTINCT usr) = 1""",
     "earliest_callsite": f"""WITH {ctes("call_edge")} SELECT callee_usr, file, line, col FROM (
   SELECT *, row_number() OVER (PARTITION BY callee_usr ORDER BY file, line, col) AS nth FROM call_edge) WHERE nth = 1""",
     "mangled_forms": f"WITH {ctes('mangled')}, {_FORMS} SELECT p_partkey, usr, {', '.join(_FORM_COLUMNS)} FROM forms",
@@ -323,4 +333,44 @@ SELECT file, CASE WHEN count(*) FILTER (inside) = 1 THEN arg_min(args, ordinal)
     "sanitized_arguments": """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '-c ' END
   || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '-O ' || p_brand || ' ' END || '-g' AS args FROM part""",
     "module_eligibility": """SELECT p_partkey, p_size % 4 NOT IN (0, 1) AND p_size % 7 <> 0 AND p_size % 5 <> 0 AS eligible FROM part""",
+    "mermaid_lines": f"""WITH {reported()}, {_DRAWN}
+SELECT 0 AS section, 0::BIGINT AS n, 'flowchart LR' AS line
+UNION ALL SELECT 1, n, '    n' || n || '["' || replace(name, '"', '\'\'') || '<br/>' || replace(isolation, '"', '\'\'') || '"]' FROM points
+UNION ALL SELECT 2, n, '    n' || a || ' --> n' || b FROM drawn
+UNION ALL SELECT 3, n, '    linkStyle ' || n || ' stroke:' || colour || ',stroke-width:2px' || CASE WHEN is_unknown THEN ',stroke-dasharray:5 5' ELSE '' END FROM drawn""".replace("\\'", "'"),
+    "dot_lines": f"""WITH {reported()}, {_DRAWN}
+SELECT 0 AS section, 0::BIGINT AS n, 'digraph IsolationMap {{' AS line UNION ALL SELECT 0, 1, '    rankdir=LR;' UNION ALL SELECT 3, 0, '}}'
+UNION ALL SELECT 1, n, '    "' || usr || '" [label="' || name || '\\n' || isolation || '"];' FROM points
+UNION ALL SELECT 2, n, '    "' || caller_usr || '" -> "' || callee_usr || '" [color="' || colour || '", penwidth='
+  || CASE WHEN is_unknown THEN '1.0' WHEN risk = 'high' THEN '2.5' WHEN risk = 'medium' THEN '1.5' ELSE '1.0' END
+  || ', label="' || CASE WHEN is_unknown THEN 'unknown' ELSE risk END || '"' || CASE WHEN is_unknown THEN ', style=dashed' ELSE '' END || '];' FROM drawn""",
+    "reference_rewrite": f"""WITH {ctes("reference")}
+SELECT c_custkey, CASE WHEN file = 'F3' THEN ref
+  WHEN c_custkey % 3 = 0 AND c_custkey % 40 % 6 = 0 AND o.s_suppkey IS NOT NULL THEN 's:o' || CAST(c_custkey % 40 AS STRING)
+  WHEN c_custkey % 3 = 0 AND c_custkey % 40 % 2 = 0 AND o.s_suppkey IS NOT NULL THEN 's:t' || CAST(c_custkey % 40 AS STRING)
+  WHEN c_custkey % 3 = 1 AND nested.n = 1 THEN 's:i' || CAST(nested.only AS STRING)
+  WHEN ref = 'syntactic:Out3.In3' THEN 's:i3' ELSE ref END AS ref, file
+FROM reference LEFT JOIN supplier o ON o.s_suppkey = c_custkey % 40
+LEFT JOIN (SELECT s_suppkey % 40 AS k, count(*) AS n, min(s_suppkey) AS only FROM supplier WHERE s_suppkey < 50 GROUP BY 1) nested ON k = c_custkey % 60""",
+    "live_answers": """SELECT CASE WHEN p_partkey % 3 = 1 THEN 's:4Mod' || CAST(p_partkey AS STRING) ELSE 's:So' || CAST(length(CAST(p_partkey AS STRING)) + 2 AS STRING) || 'T' || CAST(p_partkey AS STRING) || 'xa3oneABvgZ' END AS target_usr,
+  CASE WHEN p_partkey % 3 = 1 THEN 's:4Mod' || CAST(p_partkey AS STRING) || '::SYNTHESIZED::s:x' WHEN p_partkey % 6 = 0 THEN 'c:@E@x' ELSE 'c:@y' END AS usr,
+  CASE WHEN p_partkey % 6 = 0 THEN 'two' ELSE 'one' END AS name
+FROM part WHERE p_partkey % 3 <> 2""",
+    "fragment_isolation": """SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'globalActor(MainActor)'
+  WHEN p_partkey % 5 = 2 AND p_partkey % 4 IN (1, 2) THEN 'globalActor(A' || CAST(p_partkey % 4 AS STRING) || ')' ELSE 'nonisolated' END AS isolation FROM part""",
+    "scheme_list": """SELECT p.n_name AS name, t.n_name AS target, 'Sources/' || t.n_name AS path FROM nation p JOIN nation t ON t.n_name = p.n_name WHERE p.n_nationkey % 5 = 0
+UNION ALL SELECT p.n_name, t.n_name, 'Sources/' || t.n_name FROM nation p JOIN nation t ON t.n_name = 'FRANCE' WHERE p.n_nationkey % 5 = 0
+UNION ALL SELECT n_name, n_name, 'Sources/' || n_name FROM nation WHERE n_nationkey % 5 <> 0""",
+    "first_arguments": """SELECT '/sdk/' || CAST(min(p_partkey) AS STRING) AS value, '-sdk' AS flag FROM part WHERE p_partkey > 17 UNION ALL SELECT NULL, '-target'""",
+    "first_file_wins": f"""WITH {ctes("conformance")} SELECT protocol_usr AS protocol, 'A' || min(usr) AS actor FROM conformance
+WHERE protocol_global_actor_name IS NOT NULL GROUP BY protocol_usr""",
+    "text_decisions": """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey % 7 AS STRING) || '.2' END AS version,
+  CASE WHEN p_partkey % 2 = 0 THEN 'ios' ELSE 'macosx' END AS platform, 'a_b_' || CAST(p_partkey AS STRING) || '_c' AS sanitized,
+  left(sha256('a b-' || CAST(p_partkey AS STRING) || '.c'), 8) AS identity,
+  CASE p_partkey % 5 WHEN 1 THEN 1 WHEN 2 THEN 2 + length(CAST(p_partkey AS STRING)) + 1 + 1 WHEN 3 THEN 2 + length(CAST(p_partkey AS STRING)) + 1 + 8 + 1 END::INT AS "offset",
+  'a b' || chr(92) || CAST(p_partkey AS STRING) AS plain, p_partkey % 2 = 0 AS struct_member FROM part""",
+    "work_items": f"""WITH {ctes("call_edge")}, items AS (SELECT DISTINCT callee_usr AS usr, file, line, col FROM call_edge),
+ranked AS (SELECT *, dense_rank() OVER (ORDER BY file) - 1 AS place, (SELECT count(DISTINCT file) FROM items) AS n FROM items),
+dealt AS (SELECT usr, file, line, col, least(7, place // greatest(1, n // 8))::INT AS chunk FROM ranked)
+SELECT *, (row_number() OVER (PARTITION BY chunk ORDER BY file, line, col, usr) - 1)::INT AS nth FROM dealt""",
 }

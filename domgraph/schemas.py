@@ -12,9 +12,10 @@ CONFORMANCE = (
 CALL_EDGE = "caller_usr string, callee_usr string, file string, line int, col int"
 INDEXED_SYMBOL = "usr string, name string, file string, line int, col int"
 OCCURRENCE = "usr string, name string, roles bigint, file string, line int, col int, module string, is_system boolean, record string"
-#: A relation belongs to one occurrence, which record, file, line, col and usr tell.
+#: A relation belongs to one occurrence, which record, file, line, col and usr tell; name is that of the occurrence's symbol.
 RELATION = (
-    "usr string, role bigint, target_usr string, target_name string, occurrence_roles bigint, ordinal int, record string, file string, line int, col int"
+    "usr string, role bigint, target_usr string, target_name string, occurrence_roles bigint, ordinal int, record string, file string, line int, col int,"
+    " name string"
 )
 CLOSURE_LITERAL = (
     "file string, start_line int, start_col int, end_line int, end_col int, signature_attribute string, call_receiver string,"

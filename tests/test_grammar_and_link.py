@@ -59,13 +59,30 @@ def test_locations(spark):
     mapping = link.placeholder_map(rows, matched)
     edges = spark.createDataFrame([("syntactic:A.login", "syntactic:One", "F", 1, 1), ("syntactic:None", "s:9", "G", 1, 1)], schemas.CALL_EDGE)
     got = link.rewrite(link.rewrite(edges, "caller_usr", mapping), "callee_usr", mapping)
-    assert sorted((r.caller_usr, r.callee_usr) for r in got.collect()) == [("s:3", "s:1"), ("syntactic:None", "s:9")]
+    assert sorted((r.caller_usr, r.callee_usr) for r in got.collect()) == [("syntactic:A.login", "s:1"), ("syntactic:None", "s:9")]
+
+
+def test_references_are_rewritten(spark):
+    """By key, else by the only nested type of that name; an override comes first, and unread files keep theirs."""
+    mapping = spark.createDataFrame([("syntactic:Top", "s:t"), ("syntactic:Outer.In", "s:i"), ("syntactic:A.Two", "s:1"), ("syntactic:B.Two", "s:2"), ("syntactic:T.m#4", "s:m")], "usr string, real_usr string")
+    rows = [(u, "F") for u in ("syntactic:Top", "syntactic:In", "syntactic:Two", "syntactic:m", "syntactic:X.In", "s:q", None)] + [("syntactic:Top", "unread")]
+    table = spark.createDataFrame(rows, "u string, file string")
+    unread = spark.createDataFrame([("unread",)], "file string")
+    over = spark.createDataFrame([("syntactic:Top", "s:over")], "usr string, real_usr string")
+    got = {tuple(r) for r in link.rewrite(table, "u", mapping, over, unread).collect()}
+    assert got == {("s:over", "F"), ("s:i", "F"), ("syntactic:Two", "F"), ("syntactic:m", "F"), ("syntactic:X.In", "F"), ("s:q", "F"), (None, "F"), ("syntactic:Top", "unread")}
+
+
+def test_ancestors_bring_no_actor(spark):
+    pairs = spark.createDataFrame([("u", 0, "P", "MainActor", True, False)], schemas.CONFORMANCE)
+    closure = spark.createDataFrame([("P", "Q")], "protocol string, ancestor string")
+    assert sorted(map(tuple, link.with_ancestors(pairs, closure).collect())) == [("u", 0, "P", "MainActor", True, False), ("u", 0, "Q", None, True, False)]
 
 
 def test_accessors_need_one_owner(spark):
     rows = [("g1", 1 << 15, "p1", "p", 4, 0), ("g2", 1 << 15, "p1", "p", 4, 0), ("g2", 1 << 15, "p2", "p", 4, 1), ("g3", 1 << 15, "p1", "p", 4, 0), ("g3", 1 << 15, "p2", "p", 2, 1)]
     rows += [("c:objc(cs)K(im)x", 1 << 15, "c:objc(cs)K(py)x", "x", 2, 0)]
-    owners = link.accessor_owner(spark.createDataFrame([(*r, "rec", "F", 1, 1) for r in rows], schemas.RELATION))
+    owners = link.accessor_owner(spark.createDataFrame([(*r, "rec", "F", 1, 1, "n") for r in rows], schemas.RELATION))
     assert {r.accessor: r.owner for r in owners.collect()} == {"g1": "p1", "g3": "p2", "c:objc(cs)K(im)x": "c:objc(cs)K(py)x"}
     edges = spark.createDataFrame([("g1", "c:@CM@Mod@@objc(cs)K(im)x", "F", 1, 1), ("c:objc(cs)K(im)x", "g2", "F", 2, 1)], schemas.CALL_EDGE)
     assert [(r.caller_usr, r.callee_usr) for r in link.canonical(edges, owners).orderBy("line").collect()] == [("p1", "c:objc(cs)K(py)x"), ("c:objc(cs)K(py)x", "g2")]
@@ -81,7 +98,7 @@ def test_each_call_keeps_its_own_caller(spark):
     seen += [occurrence("s", "setter:x", 32, 3), occurrence("g", "getter:x", 32, 3), occurrence("s", "setter:x", 32, 4), occurrence("lost", "lost()", 32, 5)]
     relations = [("callee", 8192, "one", "one", 32, 0, "r", "F", 1, 1), ("callee", 8192, "late", "late", 32, 1, "r", "F", 1, 1), ("callee", 8192, "two", "two", 32, 0, "r", "F", 2, 1)]
     relations += [(u, 8192, "one", "one", 32, 0, "r", "F", n, 1) for u, n in (("s", 3), ("g", 3), ("s", 4))] + [("lost", 512, "one", "one", 32, 0, "r", "F", 5, 1)]
-    got = link.calls(spark.createDataFrame(seen, schemas.OCCURRENCE), spark.createDataFrame(relations, schemas.RELATION)).collect()
+    got = link.calls(spark.createDataFrame(seen, schemas.OCCURRENCE), spark.createDataFrame([(*r, "n") for r in relations], schemas.RELATION)).collect()
     assert sorted((r.caller_usr, r.callee_usr, r.line) for r in got) == [("one", "callee", 1), ("one", "g", 3), ("one", "s", 4), ("two", "callee", 2)]
 
 
@@ -95,7 +112,7 @@ def test_a_record_counts_in_the_first_unit_in_scope(spark):
 
 def test_extended_types_of_definitions_alone(spark):
     rows = [("m", 512, "other", "o", 4, 0), ("m", 512, "ext", "e", 2, 1), ("T", 16384, "ext", "e", 4, 0), ("U", 16384, "other", "o", 4, 0), ("n", 512, "ext", "e", 4, 0)]
-    relations = spark.createDataFrame([(*r, "r", "F", 1, 1) for r in rows], schemas.RELATION)
+    relations = spark.createDataFrame([(*r, "r", "F", 1, 1, "n") for r in rows], schemas.RELATION)
     assert [tuple(r) for r in link.extended_type(relations).collect()] == [("m", "T")]
     held = [("m", "syntactic:T"), ("n", "syntactic:T"), ("syntactic:T.m#1", "syntactic:T"), ("k", "T")]
     table = spark.createDataFrame(held + [("m", "real")], "usr string, containing_type_usr string")
