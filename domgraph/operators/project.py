@@ -95,3 +95,8 @@ def ordered_items(items: DataFrame, n: int) -> DataFrame:
 def work_items(found: Linked, n: int) -> DataFrame:
     """O2: what a live service would be asked: unresolved declarations in order."""
     return ordered_items(found.unresolved.select("usr", "file", "line", "col"), n)
+
+
+def live_files(items: DataFrame) -> DataFrame:
+    """One row with `files`, the number of files that items of a live service lie in."""
+    return items.agg(F.countDistinct("file").alias("files"))

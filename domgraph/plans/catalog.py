@@ -535,3 +535,36 @@ def work_items(spark, sf_dir):
     """O2: declarations in order of file and place, file by file."""
     rows = fact(spark, sf_dir, "call_edge").select(F.col("callee_usr").alias("usr"), "file", "line", "col").distinct()
     return project.ordered_items(rows, 8)
+
+
+@query
+def live_files(spark, sf_dir):
+    """How many files hold calls of symbols that have no declaration."""
+    calls, declarations = _facts(spark, sf_dir, "call_edge", "declaration")
+    return project.live_files(calls.join(declarations.select(F.col("usr").alias("callee_usr")), "callee_usr", "left_anti"))
+
+
+@query
+def output_tails(spark, sf_dir):
+    """The end of each text, and the triple of a platform."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    platform = F.when(F.col("doc_id") % 3 == 0, "iOS").when(F.col("doc_id") % 3 == 1, "macOS").otherwise("other")
+    return rows.select("doc_id", F.md5(readers.last_output(F.col("text"))).alias("tail"), readers.triple_of(platform, "arm64", "17.0").alias("triple"))
+
+
+@query
+def unresolved_placeholders(spark, sf_dir):
+    """Declarations that have a place and no symbol."""
+    declarations, symbols = _facts(spark, sf_dir, "declaration", "indexed_symbol")
+    declarations = declarations.where("usr LIKE 'C%'").withColumn("usr", F.concat(F.lit(link.PLACEHOLDER), "usr"))
+    declarations = declarations.withColumn("file", F.when(F.col("ord") % 5 != 0, F.col("file")))
+    matched = link.match_locations(declarations.where("file IS NOT NULL"), symbols)
+    mapping = link.placeholder_map(declarations, matched)
+    return link.unresolved(declarations.join(mapping, "usr", "left_anti")).select("usr", "file", "line")
+
+
+@query
+def merged_conformances(spark, sf_dir):
+    """A1: conformances of declarations that fall together, one after another."""
+    rows = fact(spark, sf_dir, "conformance").withColumn("ord", F.substring("usr", 2, 20).cast("bigint")).withColumn("usr", F.concat(F.lit("C"), (F.col("ord") % 100).cast("string")))
+    return link.merge_conformances(rows, rows.select("usr").distinct()).select("usr", "idx", "protocol_usr")

@@ -373,4 +373,14 @@ WHERE protocol_global_actor_name IS NOT NULL GROUP BY protocol_usr""",
 ranked AS (SELECT *, dense_rank() OVER (ORDER BY file) - 1 AS place, (SELECT count(DISTINCT file) FROM items) AS n FROM items),
 dealt AS (SELECT usr, file, line, col, least(7, place // greatest(1, n // 8))::INT AS chunk FROM ranked)
 SELECT *, (row_number() OVER (PARTITION BY chunk ORDER BY file, line, col, usr) - 1)::INT AS nth FROM dealt""",
+    "live_files": f"""WITH {ctes("call_edge", "declaration")} SELECT count(DISTINCT file)::BIGINT AS files FROM call_edge
+WHERE callee_usr NOT IN (SELECT usr FROM declaration)""",
+    "output_tails": """SELECT doc_id, md5(right(text, 4000)) AS tail, CASE doc_id % 3 WHEN 0 THEN 'arm64-apple-ios17.0' WHEN 1 THEN 'arm64-apple-macosx17.0' END AS triple FROM documents""",
+    # A customer's place has one symbol, another of other names, or both; the second alone counts whatever its name.
+    "unresolved_placeholders": """SELECT 'syntactic:C' || CAST(c_custkey AS STRING) AS usr, 'customer.src' AS file, (c_custkey + 1)::INT AS line FROM customer
+WHERE c_custkey % 5 <> 0 AND c_custkey % 7 = 0 AND c_custkey % 3 <> 0""",
+    "merged_conformances": f"""WITH {ctes("conformance")}
+SELECT 'C' || CAST(CAST(substr(usr, 2) AS BIGINT) % 100 AS STRING) AS usr,
+  (row_number() OVER (PARTITION BY CAST(substr(usr, 2) AS BIGINT) % 100 ORDER BY CAST(substr(usr, 2) AS BIGINT), idx) - 1)::INT AS idx, protocol_usr
+FROM conformance""",
 }

@@ -36,9 +36,8 @@ def symbol_graphs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no and line of a text, numbered in file order (a build log is one file, read as one row)."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    """line_no and line of a text, with numbers that ascend in file order. The file is read in splits, as any text is."""
+    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
 
 
 def tokens(line: str) -> list[str]:
@@ -144,10 +143,10 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame | None:
     from pyspark.errors import AnalysisException
 
     try:
-        read = spark.read.parquet(path)
+        read = spark.read.schema(schemas.MANIFEST).json(path)
     except AnalysisException:
         return None
-    return read.select("file", "content_hash") if {"file", "content_hash"} <= set(read.columns) else None
+    return None if read.where("file IS NULL OR content_hash IS NULL").limit(1).count() else read
 
 
 def module_names(spark: SparkSession, path: str) -> DataFrame:
@@ -197,6 +196,21 @@ def byte_offset(text: Column, line: Column, col: Column) -> Column:
     return F.when((line >= 1) & (line <= F.size(rows)), before + col - 1)
 
 
+#: What a target triple calls each platform.
+_SYSTEMS = {"iOS": "ios", "macOS": "macosx", "tvOS": "tvos", "watchOS": "watchos"}
+
+
+def triple_of(platform: Column, architecture: str, version: str) -> Column:
+    """the target triple of a platform by name, null for another."""
+    system = F.create_map(*[F.lit(x) for pair in _SYSTEMS.items() for x in pair])[platform]
+    return F.concat(F.lit(f"{architecture}-apple-"), system, F.lit(version))
+
+
+def last_output(text: Column, most: int = 4000) -> Column:
+    """The end of a process's output that an error quotes."""
+    return F.right(text, F.lit(most))
+
+
 def platform_of(triple: Column) -> Column:
     """the platform's name in a target triple, its version dropped."""
     return F.regexp_extract(triple, r"^[^-]+-[^-]+-([a-z]+)", 1)
