@@ -60,9 +60,13 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
 def to_png(payload: bytes, n_bytes: int, level: int = 6) -> bytes:
     """The payload as an 8-bit greyscale image, rows of WIDTH samples without filtering."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    squeeze = zlib.compressobj(level)
+    squeeze, parts = zlib.compressobj(level), []
     # Some rows at a time, so that a very long text is copied only once, as what it packs to.
-    parts = [squeeze.compress(np.pad(rows[k : k + _ROWS], ((0, 0), (1, 0))).tobytes()) for k in range(0, len(rows), _ROWS)]
+    for k in range(0, len(rows), _ROWS):
+        part = rows[k : k + _ROWS]
+        filtered = np.zeros((len(part), WIDTH + 1), np.uint8)
+        filtered[:, 1:] = part
+        parts.append(squeeze.compress(filtered))
     packed = b"".join([*parts, squeeze.flush()])
     head = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)
     pieces = [_chunk(b"IDAT", packed[k : k + _PIECE]) for k in range(0, len(packed), _PIECE)]
