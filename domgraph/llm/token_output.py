@@ -92,10 +92,10 @@ class Encoder:
     encoded like other text.
     """
 
-    def __init__(self, spec: str, *, added_tokens: bool = False):
+    def __init__(self, spec: str, *, added_tokens: bool = False, plain: bool | None = None):
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = not added_tokens
-        self.plain = spelled_as_bytes(spec)
+        self.plain = spelled_as_bytes(spec) if plain is None else plain
         self.pieces = _Pieces(self.tokenizer) if self.plain else {}
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
 
@@ -108,11 +108,11 @@ class Encoder:
 _ENCODERS: dict[int, Encoder] = {}
 
 
-def _encoder(spec: str) -> Encoder:
+def _encoder(spec: str, plain: bool) -> Encoder:
     key = zlib.crc32(spec.encode())
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(spec, added_tokens=True)
+        _ENCODERS[key] = Encoder(spec, added_tokens=True, plain=plain)
     return _ENCODERS[key]
 
 
@@ -120,13 +120,13 @@ _WRITTEN = "part int, doc_id bigint, source string, offset bigint, n_tokens bigi
 _FLUSH_BYTES = 4 << 20
 
 
-def _encode_partitions(spec, end_id: int):
+def _encode_partitions(spec, plain: bool, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, offset, encoder = TaskContext.get().partitionId(), 0, _encoder(spec.value)
+        part, offset, encoder = TaskContext.get().partitionId(), 0, _encoder(spec.value, plain)
         rows: list[tuple] = []
         held = 0
 
@@ -184,7 +184,7 @@ def write_tokens(
         .repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
         .sortWithinPartitions(*order)
         .select("doc_id", "source", "text")
-        .mapInArrow(_encode_partitions(spark.sparkContext.broadcast(spec), end_id), _WRITTEN)
+        .mapInArrow(_encode_partitions(spark.sparkContext.broadcast(spec), spelled_as_bytes(spec), end_id), _WRITTEN)
         .write.option("compression", codec)
         .option("parquet.block.size", row_group_bytes)
         .option("parquet.page.size", page_bytes)
