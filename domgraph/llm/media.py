@@ -327,7 +327,8 @@ def write_media(docs: DataFrame, path: str, **options) -> None:
     """Store the texts of docs (doc_id, text) as media archives under path."""
     docs.sparkSession.dataSource.register(MediaArchive)
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    rows.write.format("media_archive").options(**options).mode("append").save(path)
+    with scratch.small_batches(docs.sparkSession):
+        rows.write.format("media_archive").options(**options).mode("append").save(path)
 
 
 def read_media(spark: SparkSession, path: str, **options) -> DataFrame:

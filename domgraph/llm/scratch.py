@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,7 @@ def base_dir(spark: SparkSession) -> str:
 
 
 _OWN: dict[str, str] = {}
+_ROWS_IN_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -42,11 +45,24 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Python workers get whole texts so many rows at a time, not ten thousand, while what is inside runs: less memory, and what
+    they hold stays in the processor's cache. Spark bounds the bytes of a batch as well. The session's setting is put back."""
+    before = spark.conf.get(_ROWS_IN_BATCH)
+    spark.conf.set(_ROWS_IN_BATCH, str(min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS_IN_BATCH, before)
+
+
 def table(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """Write df once and return a scan of what was written."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found.scratch_path = path
     return found

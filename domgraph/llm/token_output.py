@@ -178,14 +178,16 @@ def write_tokens(
         raise ValueError(f"{tokenizer_path} is larger than a tokenizer that may be sent to executors")
     # Rows that share a doc_id, or have none, are told apart by their text, so that they needn't meet in one range.
     order = ["doc_id", "apart"]
-    (
+    encoded = (
         docs.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), F.col("text").cast("string"))
         .withColumn("apart", F.xxhash64("text", "source"))
         .repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
         .sortWithinPartitions(*order)
         .select("doc_id", "source", "text")
         .mapInArrow(_encode_partitions(spark.sparkContext.broadcast(spec), spelled_as_bytes(spec), end_id), _WRITTEN)
-        .write.option("compression", codec)
+    )
+    writer = (
+        encoded.write.option("compression", codec)
         .option("parquet.block.size", row_group_bytes)
         .option("parquet.page.size", page_bytes)
         .option("parquet.page.row.count.limit", page_rows)
@@ -194,8 +196,9 @@ def write_tokens(
         .option("parquet.enable.dictionary#doc_id", "false")
         .option("parquet.enable.dictionary#offset", "false")
         .option("parquet.enable.dictionary#n_tokens", "false")
-        .parquet(path)
     )
+    with scratch.small_batches(spark):
+        writer.parquet(path)
 
 
 def write_totals(spark: SparkSession, path: str) -> None:
