@@ -8,7 +8,8 @@ fingerprint therefore enters budget + 1 tries, rotated so that the block comes f
 its fingerprints meet in one partition. A root with more than `most_in_root` fingerprints is split again by its next bits:
 a fingerprint is at home in its own part and visits the parts within the budget, so no part needs them all. In a
 partition tries are traversed together, some whole roots at a time, level by level: pairs of nodes descend to pairs of children, differing
-bits accumulate, and a pair is dropped once its bits exceed the budget.
+bits accumulate, and a pair is dropped once its bits exceed the budget. Fingerprints of several kinds (the slices of `similar_links`) have
+tries of their own: the kind is their top bits, which must agree.
 
 Components. Each such piece reports a spanning forest of the links it found (union-find over its own
 links), then smallest document ids spread along the forest's edges, with pointer jumping, until nothing changes; every round
@@ -34,9 +35,10 @@ BITS = 64
 #: Fixed value: the seed of the shingles' hashes.
 SEED = 42
 _SHINGLES_AT_ONCE = 1 << 17
-_ROWS_AT_ONCE = 1 << 17
-#: Texts of so few shingles get more slices, as shingles are drawn without replacement.
-_FEW_SHINGLES, _MORE_SLICES = 5, 3
+_ROWS_AT_ONCE = 1 << 14
+#: Bits of a slice's fingerprint; the slice's number stands above them.
+_SLICE_BITS = 40
+_SHINGLES_IN_ORDERS = 256
 _CACHED_BYTES = 8 << 20
 
 
@@ -87,9 +89,9 @@ def fingerprints(docs: DataFrame, words_in_shingle: int = 3) -> DataFrame:
     )
 
 
-def _blocks(budget: int) -> list[tuple[int, int]]:
+def _blocks(budget: int, bits: int = BITS) -> list[tuple[int, int]]:
     """First bit from the top and width of each block."""
-    cuts = np.linspace(0, BITS, budget + 2).astype(int).tolist()
+    cuts = np.linspace(0, bits, budget + 2).astype(int).tolist()
     return list(zip(cuts[:-1], np.diff(cuts).tolist(), strict=True))
 
 
@@ -172,23 +174,26 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, nodes[label]
 
 
-def _forest_of(budget: int, trie: np.ndarray, root: np.ndarray, part: np.ndarray, visits: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+def _forest_of(budget: int, kind_bits: int, trie: np.ndarray, root: np.ndarray, part: np.ndarray, visits: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
     """The spanning forest of the links within whole groups of rows."""
     fps = fp.view(np.uint64)
     ends, links = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k, (first, width) in enumerate(_blocks(budget)):
+    bits = BITS - kind_bits
+    low = np.uint64((1 << bits) - 1)
+    for k, (first, width) in enumerate(_blocks(budget, bits)):
         own = trie == k
         if not own.any():
             continue
         value = np.uint64(0) + fps[own]
         if first:
-            value = (value << np.uint64(first)) | (value >> np.uint64(BITS - first))
+            rotated = ((value << np.uint64(first)) | ((value & low) >> np.uint64(bits - first))) & low
+            value = (value & ~low) | rotated
         r, p, v = root[own], part[own], visits[own]
         order = np.lexsort((value, p, r))
         value, r, p, v = value[order], r[order], p[order], v[order]
         if len(value) > 1:
             new = np.concatenate(([True], (r[1:] != r[:-1]) | (p[1:] != p[:-1])))
-            a, b = trie_links(np.cumsum(new), value, ~v, width, budget)
+            a, b = trie_links(np.cumsum(new), value, ~v, kind_bits + width, budget)
             original = fp[own][order]
             ends.append(original[a])
             links.append(original[b])
@@ -198,8 +203,8 @@ def _forest_of(budget: int, trie: np.ndarray, root: np.ndarray, part: np.ndarray
     return pa.RecordBatch.from_arrays([pa.array(nodes[apart]), pa.array(roots[apart])], ["a", "b"])
 
 
-def _join_groups(budget: int):
-    """Forests of rows that come sorted by (trie, root, part), about _ROWS_AT_ONCE rows of whole groups at a time."""
+def _join_groups(budget: int, kind_bits: int):
+    """Forests of rows that come sorted by (root, trie, part), about _ROWS_AT_ONCE rows of whole groups at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -213,21 +218,28 @@ def _join_groups(budget: int):
             new = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in rows[:3]]))
             cut = int(new[-1]) + 1 if len(new) else 0
             if cut:
-                yield _forest_of(budget, *(x[:cut] for x in rows))
+                yield _forest_of(budget, kind_bits, *(x[:cut] for x in rows))
             held, n = [[x[cut:] for x in rows]], n - cut
             most = max(_ROWS_AT_ONCE, 2 * n)
         if n:
-            yield _forest_of(budget, *(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield _forest_of(budget, kind_bits, *(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
 
-def links(fps: DataFrame, budget: int = 2, most_in_root: int = 4096) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints `fp` whose components are those of all pairs within the budget."""
+def links(fps: DataFrame, budget: int = 2, most_in_root: int = 4096, kind_bits: int = 0) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints `fp` whose components are those of all pairs within the budget.
+
+    Fingerprints that differ in their top `kind_bits` bits are of different kinds and never linked.
+    """
     tries = None
-    for k, (first, width) in enumerate(_blocks(budget)):
-        root = F.shiftrightunsigned(F.shiftleft("fp", first), BITS - width)
-        rest = F.shiftleft("fp", (first + width) % BITS)
+    bits = BITS - kind_bits
+    low = F.shiftleft("fp", kind_bits)
+    kind = F.shiftrightunsigned("fp", bits) if kind_bits else F.lit(0).cast("bigint")
+    for k, (first, width) in enumerate(_blocks(budget, bits)):
+        root = F.shiftleft(kind, width).bitwiseOR(F.shiftrightunsigned(F.shiftleft(low, first), BITS - width))
+        used = (first + width) % bits
+        rest = F.shiftleft(low, used).bitwiseOR(F.shiftrightunsigned(low, bits - used)) if used else low
         one = fps.select("fp", F.lit(k).alias("trie"), root.alias("root"), rest.alias("rest"))
         tries = one if tries is None else tries.unionByName(one)
     large = (
@@ -236,7 +248,9 @@ def links(fps: DataFrame, budget: int = 2, most_in_root: int = 4096) -> DataFram
         .where(F.col("count") > most_in_root)
         .select("trie", "root", F.least(F.ceil(F.log2(F.col("count") / most_in_root)) + 2, F.lit(20)).cast("int").alias("more"))
     )
-    # At most (budget + 1) / most_in_root of the fingerprints are such roots; Spark joins them as their size allows.
+    # At most (budget + 1) / most_in_root of the fingerprints are such roots; written, so that Spark knows their size and joins
+    # them as it allows.
+    large = scratch.table(large, "large-roots")
     joined = tries.join(large, ["trie", "root"], "left").withColumn("more", F.coalesce("more", F.lit(0)))
     joined = joined.withColumn("part", F.expr(f"CASE WHEN more > 0 THEN shiftrightunsigned(rest, {BITS} - more) ELSE 0L END"))
     masks = F.expr(
@@ -251,8 +265,8 @@ def links(fps: DataFrame, budget: int = 2, most_in_root: int = 4096) -> DataFram
         joined.withColumn("mask", F.explode(F.array_distinct(masks)))
         .select("trie", "root", F.expr("part ^ mask").alias("part"), (F.col("mask") != 0).alias("visits"), "fp")
     )
-    dealt = parts.repartition("trie", "root", "part").sortWithinPartitions("trie", "root", "part")
-    return dealt.mapInArrow(_join_groups(budget), "a bigint, b bigint")
+    dealt = parts.repartition("trie", "root", "part").sortWithinPartitions("root", "trie", "part")
+    return dealt.mapInArrow(_join_groups(budget, kind_bits), "a bigint, b bigint")
 
 
 def smallest_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -307,31 +321,50 @@ def _shingles(text: str | None, words_in_shingle: int) -> np.ndarray:
     return np.unique(_hashed(joined, starts, stops))
 
 
-#: Odd multipliers that put a text's shingles in another order for each slice.
-_ORDERS = np.cumprod(np.full(128, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+#: Odd multipliers, each of which puts a text's shingles in another order (of 32 bits, which processors multiply several at a time).
+_ORDERS = (np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_SPREAD = np.uint32(0x846CA68B)
+_BY_ORDER = np.arange(len(_ORDERS), dtype=np.uint64) << np.uint64(32)
+
 
+def slice_fingerprints(hashes: np.ndarray, slices: int, shingles: int) -> np.ndarray:
+    """The fingerprints of a text's distinct shingle hashes, each below its number: the SimHash of all, then those of the slices.
 
-def slice_fingerprints(hashes: np.ndarray, slices: int, shingles: int) -> list[int]:
-    """The SimHash of each slice: the `shingles` hashes that come first in the slice's order."""
-    out = []
-    for k in range(slices):
-        order = hashing.mix(hashes * _ORDERS[k])
-        chosen = np.sort(np.partition(order, shingles - 1)[:shingles] if len(order) > shingles else order)
-        # Mixed once more with its rank's salt, so that an even split of votes on a bit is no tie of the set.
-        voters = hashing.mix(chosen + np.arange(1, len(chosen) + 1, dtype=np.uint64) * _ORDERS[k + 1])
-        ones = np.unpackbits(voters.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(ones * 2 > len(chosen)).view(np.int64)[0]))
-    return out
+    A slice is `shingles` shingles, each the first in an order of its own, and each votes alone on its share of the bits. A bit thus
+    differs between two texts of similarity s with probability (1 - s) / 2, whatever their length, less than where many vote.
+    """
+    bits = np.uint64((1 << _SLICE_BITS) - 1)
+    ones = np.zeros(BITS, np.int64)
+    orders = _ORDERS[: slices * shingles, None]
+    first = np.full(slices * shingles, 2**32 - 1, np.uint32)
+    for k in range(0, len(hashes), _SHINGLES_IN_ORDERS):
+        some = hashes[k : k + _SHINGLES_IN_ORDERS]
+        ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        order = (some ^ some >> np.uint64(32)).astype(np.uint32) * orders
+        order ^= order >> np.uint32(15)
+        order *= _SPREAD
+        np.minimum(first, order.min(axis=1), out=first)
+    whole = np.packbits(ones * 2 > len(hashes)).view(np.uint64) & bits
+    share = _SLICE_BITS // shingles
+    votes = (hashing.mix(first.astype(np.uint64) + _BY_ORDER[: len(first)]) >> np.uint64(BITS - share)).reshape(slices, shingles)
+    sliced = np.bitwise_or.reduce(votes << (np.arange(shingles, dtype=np.uint64) * np.uint64(share)), axis=1)
+    number = np.arange(slices + 1, dtype=np.uint64) << np.uint64(_SLICE_BITS)
+    return (number | np.concatenate([whole, sliced])).view(np.int64)
 
 
 def _slices(words_in_shingle: int, slices: int, shingles: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [_shingles(x.as_py(), words_in_shingle) for x in batch.column(1)]
-            # A text without shingles is like no other, so it meets none.
-            found = [slice_fingerprints(h, slices * (_MORE_SLICES if len(h) <= _FEW_SHINGLES else 1), shingles) if len(h) else [] for h in hashes]
-            columns = [batch.column(0), pa.array([len(h) for h in hashes], pa.int64()), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "shingles", "slices"])
+            sizes, found, ends = [], [np.zeros(0, np.int64)], [0]
+            for text in batch.column(1):
+                hashes = _shingles(text.as_py(), words_in_shingle)
+                sizes.append(len(hashes))
+                # A text without shingles is like no other, so it meets none.
+                if len(hashes):
+                    found.append(slice_fingerprints(hashes, slices, shingles))
+                ends.append(ends[-1] + (slices + 1 if len(hashes) else 0))
+            fps = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), fps], ["node", "shingles", "fps"])
 
     return run
 
@@ -368,11 +401,13 @@ def _hashes(words_in_shingle: int):
     return run
 
 
-def links_between(sets: list[np.ndarray], component: np.ndarray, side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+def links_between(
+    sets: list[np.ndarray], component: np.ndarray, side: np.ndarray, similarity: float, fps: np.ndarray | None = None, budget: int = 0
+) -> list[tuple[int, int]]:
     """Links (positions) that join what the pairs of at least the similarity join, beyond the components known already.
 
-    Pairs are those of different sides, or all if there is one side. Each set is held against all others that verified links
-    have not joined to it; the sets of the commonest shingles come first, as they join most.
+    Pairs are those of different sides, or all if there is one side, and those within the budget if there are fingerprints. Each set is
+    held against all others that verified links have not joined to it; the sets of the commonest shingles come first, as they join most.
     """
     sizes = np.array([len(x) for x in sets], np.int64)
     shingle = np.unique(np.concatenate(sets), return_inverse=True)[1]
@@ -382,7 +417,9 @@ def links_between(sets: list[np.ndarray], component: np.ndarray, side: np.ndarra
     starts = np.concatenate([[0], np.cumsum(sizes)])
     label = np.unique(component, return_inverse=True)[1]
     halves = side.min() != side.max()
-    common = np.add.reduceat(np.diff(ends)[shingle], starts[:-1]) / sizes
+    held_with = np.diff(ends)
+    is_own = np.zeros(len(held_with), bool)
+    common = np.add.reduceat(held_with[shingle], starts[:-1]) / sizes
     waiting = np.ones(len(sets), bool)
     found: list[tuple[int, int]] = []
     for k in np.argsort(-common, kind="stable").tolist():
@@ -390,11 +427,20 @@ def links_between(sets: list[np.ndarray], component: np.ndarray, side: np.ndarra
         others = waiting & (label != label[k])
         if halves:
             others &= side != side[k]
-        if not others.any():
+        if fps is not None:
+            others &= np.bitwise_count(fps ^ fps[k]) <= budget
+        near = np.flatnonzero(others)
+        if not len(near):
             continue
         own = shingle[starts[k] : starts[k + 1]]
-        met = np.bincount(np.concatenate([holders[ends[x] : ends[x + 1]] for x in own.tolist()]), minlength=len(sets))
-        alike = np.flatnonzero(others & (met >= similarity * (sizes + sizes[k] - met)))
+        if sizes[near].sum() < held_with[own].sum():
+            is_own[own] = True
+            at = np.cumsum(sizes[near]) - sizes[near]
+            met = np.add.reduceat(is_own[np.concatenate([shingle[starts[x] : starts[x + 1]] for x in near.tolist()])], at, dtype=np.int64)
+            is_own[own] = False
+        else:
+            met = np.bincount(np.concatenate([holders[ends[x] : ends[x + 1]] for x in own.tolist()]), minlength=len(sets))[near]
+        alike = near[met >= similarity * (sizes[near] + sizes[k] - met)]
         for other in alike.tolist():
             if label[other] != label[k]:
                 found.append((k, other))
@@ -404,39 +450,47 @@ def links_between(sets: list[np.ndarray], component: np.ndarray, side: np.ndarra
     return found
 
 
-def _links_in_block(similarity: float):
+def _links_in_block(similarity: float, budget: int):
     def run(block: pa.Table) -> pa.Table:
-        node, component, side = (block.column(c).to_numpy() for c in ("node", "component", "side"))
+        node, component, side, fps = (block.column(c).to_numpy() for c in ("node", "component", "side", "fp"))
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in block.column("hashes")]
-        found = np.array(links_between(sets, component, side, similarity), np.int64).reshape(-1, 2)
+        found = np.array(links_between(sets, component, side, similarity, fps.view(np.uint64), budget), np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(node[found].min(axis=1), pa.int64()), "b": pa.array(node[found].max(axis=1), pa.int64())})
 
     return run
 
 
 def similar_links(
-    texts: DataFrame, *, words_in_shingle: int, similarity: float, slices: int, shingles: int, block_bytes: int = 4 << 20
+    texts: DataFrame, *, words_in_shingle: int, similarity: float, slices: int, shingles: int, budget: int = 2, block_bytes: int = 4 << 20
 ) -> DataFrame:
-    """Links (a, b) between the nodes of texts (node, text: distinct texts) whose components are those of all pairs that meet
-    in a slice and are of at least the similarity.
+    """Links (a, b) between the nodes of texts (node, text: distinct texts) whose components are those of all pairs that are within
+    the budget by one of their fingerprints and of at least the similarity.
 
     At a similarity of 0.8 two whole-text fingerprints differ in about 10 of 64 bits, where a trie prunes nothing. So
-    the fingerprints are those of slices (a few shingles each, chosen by a hash order of its own), which two texts of
-    similarity s share entirely with probability about s ** shingles each: the trie join's budget is zero
-    bits. Word shingles are held against word shingles in two steps. First each text is compared with two nodes of each
-    of its slices, the smallest and the one that meets most texts in all its slices (the original of a group of variants).
-    Then what these links leave in different components of a slice is compared pair by pair, in blocks of about
+    beside the fingerprint of the whole text there are those of slices, some of which differ in few bits. All of them go through the
+    trie self-join under the budget, each number in tries of its own; its components are groups of texts. Word shingles are
+    held against word shingles within the groups in two steps. First each text is compared with two nodes of each
+    of its groups, the smallest and the one that meets most texts in all its groups (the original of a group of variants).
+    Then, in a group that these links leave in different components, the pairs within the budget are compared, in blocks of about
     `block_bytes` of shingle hashes, block against block.
     """
     parts = texts.select("node", "text").mapInArrow(
-        _slices(words_in_shingle, slices, shingles), "node bigint, shingles bigint, slices array<bigint>"
+        _slices(words_in_shingle, slices, shingles), "node bigint, shingles bigint, fps array<bigint>"
     )
-    parts = scratch.table(parts.select("node", "shingles", F.posexplode("slices").alias("slice", "fp")), "slices")
-    groups = parts.groupBy("slice", "fp").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1")
-    members = scratch.table(parts.join(groups, ["slice", "fp"]), "members")
+    parts = scratch.table(parts.select("node", "shingles", F.explode("fps").alias("fp")), "slices")
+    nodes = scratch.table(parts.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("texts")), "nodes")
+    met = links(nodes.select("fp"), budget, kind_bits=BITS - _SLICE_BITS)
+    met = smallest_reachable(nodes.select("fp", "least"), met)
+    # A group is named by its fingerprints' number and its smallest node.
+    groups = nodes.join(met, "fp", "left").where("texts > 1 OR component IS NOT NULL")
+    groups = groups.select("fp", F.shiftrightunsigned("fp", _SLICE_BITS).alias("slice"), F.coalesce("component", "least").alias("least"), "texts")
+    groups = scratch.table(groups, "groups")
+    sizes = groups.groupBy("slice", "least").agg(F.sum("texts").alias("size"))
+    groups = groups.join(sizes, ["slice", "least"]).drop("texts")
+    members = scratch.table(parts.join(groups, "fp"), "members")
     weights = members.groupBy("node").agg(F.sum("size").alias("weight"))
-    central = members.where("node <> least").join(weights, "node").groupBy("slice", "fp").agg(F.max_by("node", F.struct("weight", "node")).alias("central"))
-    members = scratch.table(members.join(central, ["slice", "fp"]), "centred")
+    central = members.where("node <> least").join(weights, "node").groupBy("slice", "least").agg(F.max_by("node", F.struct("weight", "node")).alias("central"))
+    members = scratch.table(members.join(central, ["slice", "least"]), "centred")
     met = members.select("node", F.explode(F.array("least", "central")).alias("other")).where("node <> other")
     pairs = scratch.table(met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -449,11 +503,11 @@ def similar_links(
     labels = smallest_reachable(texts.select(F.col("node").alias("fp"), F.col("node").alias("least")), first)
     labels = labels.select(F.col("fp").alias("node"), "component")
     inner = members.where("size > 3 AND node <> least AND node <> central").join(labels, "node", "left")
-    inner = inner.select("slice", "fp", "node", "shingles", F.coalesce("component", "node").alias("component"))
-    parted = inner.groupBy("slice", "fp").agg(
+    inner = inner.select("slice", "least", "fp", "node", "shingles", F.coalesce("component", "node").alias("component"))
+    parted = inner.groupBy("slice", "least").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.sum("shingles") * 8 / block_bytes).alias("blocks")
     )
-    inner = inner.join(parted.where("low < high").select("slice", "fp", "blocks"), ["slice", "fp"])
+    inner = inner.join(parted.where("low < high").select("slice", "least", "blocks"), ["slice", "least"])
     inner = scratch.table(inner.withColumn("side", F.expr("pmod(xxhash64(node), blocks)")), "parted")
     # Each member goes to its own block and to that of every pair of blocks with it.
     inner = inner.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
@@ -462,17 +516,17 @@ def similar_links(
         texts.join(inner.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_hashes(words_in_shingle), "node bigint, hashes binary"),
         "hashes",
     )
-    second = inner.join(left, "node").select("slice", "fp", "i", "j", "node", "component", "side", "hashes")
-    second = second.groupBy("slice", "fp", "i", "j").applyInArrow(_links_in_block(similarity), "a bigint, b bigint")
+    second = inner.join(left, "node").select("slice", "least", "i", "j", "node", "component", "side", "fp", "hashes")
+    second = second.groupBy("slice", "least", "i", "j").applyInArrow(_links_in_block(similarity, budget), "a bigint, b bigint")
     return first.unionByName(second)
 
 
-def keep_first(docs: DataFrame, *, words_in_shingle: int = 5, similarity: float = 0.8, slices: int = 24, shingles: int = 4) -> DataFrame:
+def keep_first(docs: DataFrame, *, words_in_shingle: int = 5, similarity: float = 0.8, slices: int = 30, shingles: int = 8) -> DataFrame:
     """All columns of one document of each group of near-duplicates, that of the smallest doc_id.
 
-    Groups are the components of links of at least the similarity (of sets of word shingles); equal texts are one
-    node. A document is its doc_id: rows that share one stay or go together, and rows without one stay. Texts
-    without words are equal texts.
+    Groups are the components of links of at least the similarity (of sets of word shingles), found by the trie self-join of
+    SimHash fingerprints and checked on the shingles; equal texts are one node. A document is its doc_id: rows that share one
+    stay or go together, and rows without one stay. Texts without words are equal texts.
     """
     rows = docs.where(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("bigint").alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")

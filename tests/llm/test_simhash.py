@@ -201,3 +201,66 @@ def test_links_between_equal_all_pairs():
         one, all_ = (dict(zip(*(x.tolist() for x in simhash.forest(np.array([p[0] for p in l]), np.array([p[1] for p in l]))), strict=True)) for l in (found, pairs))
         assert one.keys() == all_.keys()
         assert len({(one[k], all_[k]) for k in one}) == len(set(one.values())) == len(set(all_.values()))
+
+
+def _components_of(n, pairs):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((find(int(a)), find(int(b))))
+        root[y] = x
+    return [find(k) for k in range(n)]
+
+
+@pytest.mark.parametrize("most", [4096, 4])
+def test_links_of_kinds(spark, most):
+    rng = np.random.default_rng(11)
+    values = []
+    for kind in range(3):
+        for c in rng.integers(0, 1 << 40, 12).tolist():
+            values += [kind << 40 | c, (kind + 1) << 40 | c ^ 1 << int(rng.integers(40))]
+            values += [kind << 40 | c ^ 1 << int(a) ^ 1 << int(b) for a, b in rng.integers(0, 40, (4, 2))]
+    values = sorted(set(values))
+    near = lambda a, b: a >> 40 == b >> 40 and (a ^ b).bit_count() <= 2
+    want = [(a, b) for a in range(len(values)) for b in range(a) if near(values[a], values[b])]
+    found = simhash.links(spark.createDataFrame([(v,) for v in values], "fp bigint"), 2, most_in_root=most, kind_bits=24).collect()
+    place = {v: k for k, v in enumerate(values)}
+    assert _components_of(len(values), [(place[r.a], place[r.b]) for r in found]) == _components_of(len(values), want)
+
+
+def test_similar_links_come_from_the_trie_join_under_the_budget(spark, monkeypatch):
+    # One slice: what it finds is what the whole-text fingerprint or that of the slice holds within two bits, equal or not.
+    rng = np.random.default_rng(12)
+    texts = []
+    for k in range(60):
+        words = [f"p{k}w{i}" for i in range(200)]
+        texts += [" ".join(words), *(" ".join(t) for t in _variants(rng, words, 1, 4))]
+    fps = [simhash.slice_fingerprints(simhash._shingles(t, 5), 1, 8).tolist() for t in texts]
+    sets = [set(simhash._shingles(t, 5).tolist()) for t in texts]
+    apart = {(a, b): min((x ^ y).bit_count() for x, y in zip(fps[a], fps[b], strict=True)) for a in range(120) for b in range(a)}
+    alike = {p for p in apart if len(sets[p[0]] & sets[p[1]]) >= 0.8 * len(sets[p[0]] | sets[p[1]])}
+    want = {p for p in alike if apart[p] <= 2}
+    assert {apart[p] for p in want} >= {0, 1, 2} and alike - want
+    calls = []
+    join = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a, **k: calls.append(a[1:]) or join(*a, **k))
+    table = spark.createDataFrame(list(enumerate(texts)), "node bigint, text string")
+    found = simhash.similar_links(table, words_in_shingle=5, similarity=0.8, slices=1, shingles=8).collect()
+    assert {(max(r.a, r.b), min(r.a, r.b)) for r in found} == want and calls == [(2,)]
+
+
+def test_links_between_within_the_budget():
+    rng = np.random.default_rng(13)
+    sets = [np.unique(rng.choice(16, 12).astype(np.uint64)) for _ in range(80)]
+    fps = rng.integers(0, 1 << 5, 80).astype(np.uint64)
+    near = lambda a, b: (int(fps[a]) ^ int(fps[b])).bit_count() <= 1
+    like = lambda a, b: near(a, b) and len(np.intersect1d(sets[a], sets[b])) >= 0.6 * len(np.union1d(sets[a], sets[b]))
+    pairs = [(a, b) for a in range(80) for b in range(a) if like(a, b)]
+    found = simhash.links_between(sets, np.arange(80), np.zeros(80, int), 0.6, fps, 1)
+    assert all(like(a, b) for a, b in found)
+    assert _components_of(80, found) == _components_of(80, pairs)
