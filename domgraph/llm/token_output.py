@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-from domgraph.llm import scratch
+from domgraph.llm import scratch, workers
 
 #: The byte-level pre-tokenizer's pattern for texts whose characters all lie in PLAIN, where the
 #: letters and numbers of every Unicode version agree. Other texts go through the library whole.
@@ -113,6 +113,7 @@ def _encoder(spec: str, plain: bool) -> Encoder:
     if key not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[key] = Encoder(spec, added_tokens=True, plain=plain)
+        workers.release()  # parsing leaves more than the tokenizer takes
     return _ENCODERS[key]
 
 
@@ -184,7 +185,7 @@ def write_tokens(
         .repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
         .sortWithinPartitions(*order)
         .select("doc_id", "source", "text")
-        .mapInArrow(_encode_partitions(spark.sparkContext.broadcast(spec), spelled_as_bytes(spec), end_id), _WRITTEN)
+        .mapInArrow(workers.tidy(_encode_partitions(spark.sparkContext.broadcast(spec), spelled_as_bytes(spec), end_id)), _WRITTEN)
     )
     writer = (
         encoded.write.option("compression", codec)
@@ -239,8 +240,9 @@ def read_range(spark: SparkSession, path: str, first: int, last: int, columns: t
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(batch.schema.get_field_index("ids"))
-        values, ends = ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), ids.offsets.to_numpy()
-        crcs = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        # The bytes are those of unsigned integers too, and are read where they lie.
+        values, ends = ids.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False), ids.offsets.to_numpy()
+        crcs = [zlib.crc32(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         kept = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "start", "n_tokens")]
         yield pa.RecordBatch.from_arrays([*kept, pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
@@ -248,13 +250,17 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_digests(tokens: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and the unsigned crc32 of the ids as little-endian unsigned 32-bit integers."""
     return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(
-        _digest, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
+        workers.tidy(_digest), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
     )
 
 
 def encode_and_digest(docs: DataFrame, tokenizer_path: str, *, end_id: int) -> DataFrame:
-    """Write the token files to the shared scratch folder, read them back and digest them."""
+    """Write the token files to the shared scratch folder, read them back and digest them.
+
+    The digests are written in turn, as only then the ids come in small batches: ten thousand documents at a time, in both the JVM
+    and Python, are too much beside all else.
+    """
     path = scratch.new_path(docs.sparkSession, "tokens")
     write_tokens(docs, path, tokenizer_path, end_id=end_id)
     write_totals(docs.sparkSession, path)
-    return token_digests(read_tokens(docs.sparkSession, path))
+    return scratch.table(token_digests(read_tokens(docs.sparkSession, path)), "token-digests")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from domgraph.llm import hashing
+from domgraph.llm import hashing, workers
 
 _SKIP = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 _STEMS = (4, 6)
@@ -201,4 +201,4 @@ def keep_clean(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], thr
         for scores in _score(shared)(texts()):
             yield held.pop().filter(pa.array(scores.column(1).to_numpy() < threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(workers.tidy(keep), docs.schema)

@@ -128,3 +128,55 @@ def test_rows_that_share_a_doc_id_are_spread(spark):
     path = scratch.new_path(spark, "spread")
     token_output.write_tokens(table, path, PATH, end_id=2)
     assert spark.read.parquet(path).groupBy("part").count().agg({"count": "max"}).first()[0] < 300
+
+
+def test_digests_read_ids_in_small_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    def batch_rows(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array([b.num_rows] * b.num_rows), b.column(2)], ["doc_id", "start", "n_tokens", "ids_crc32"]
+            )
+
+    monkeypatch.setattr(token_output, "_digest", batch_rows)
+    table = spark.range(9000).selectExpr("id as doc_id", "'s' as source", "'some words' as text")
+    got = token_output.encode_and_digest(table, PATH, end_id=2).collect()
+    assert len(got) == 9000 and max(r.n_tokens for r in got) <= 1000
+
+
+def test_digests_copy_no_ids():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, size = 8, 500_000
+    ids = pa.ListArray.from_arrays(pa.array(range(0, n * size + 1, size), pa.int32()), pa.array(np.arange(n * size, dtype="i4")))
+    numbers = pa.array(range(n), pa.int64())
+    batch = pa.RecordBatch.from_arrays([numbers, numbers, numbers, ids], ["doc_id", "start", "n_tokens", "ids"])
+    tracemalloc.start()
+    got = list(token_output._digest(iter([batch])))[0]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.column(3).to_pylist() == [zlib.crc32(np.arange(k * size, (k + 1) * size, dtype="<u4").tobytes()) for k in range(n)]
+    assert most < 4 * size
+
+
+def test_a_worker_gives_back_what_parsing_the_tokenizer_leaves():
+    import subprocess
+    import sys
+
+    code = f"""
+import re
+from domgraph.llm import token_output, workers
+def held():
+    return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+spec = open({PATH!r}).read()
+token_output._encoder(spec, True)
+before = held()
+workers.release()
+print(before - held())
+"""
+    code_without = code.replace("token_output._encoder(spec, True)", "kept = token_output.Encoder(spec)")
+    left, found = (float(subprocess.run([sys.executable, "-c", c], capture_output=True, text=True, check=True, timeout=120).stdout) for c in (code, code_without))
+    assert left < 10 and left < found / 2
