@@ -12,8 +12,9 @@ bits accumulate, and a pair is dropped once its bits exceed the budget. Fingerpr
 tries of their own: the kind is their top bits, which must agree.
 
 Components. Each such piece reports a spanning forest of the links it found (union-find over its own
-links), then smallest document ids spread along the forest's edges, with pointer jumping, until nothing changes; every round
-is written to the scratch folder, so a lost executor repeats one round at most.
+links), then the forests' edges are contracted: nodes hook to their smallest neighbours, hooks are followed to their roots, and only
+edges between different roots go on to the next round, so all rounds together join a small multiple of the edges; every round is
+written to the scratch folder, so a lost executor repeats one round at most.
 
 Defined results: a text without words (null, empty, white space) has fingerprint zero and links like any other; a null
 doc_id counts as larger than all others; repeated rows give repeated result rows; an empty table gives none.
@@ -269,32 +270,58 @@ def links(fps: DataFrame, budget: int = 2, most_in_root: int = 4096, kind_bits:
     return dealt.mapInArrow(_join_groups(budget, kind_bits), "a bigint, b bigint")
 
 
-def smallest_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """fp and component, the least (component, fp) label among the nodes that each linked fp reaches.
+def _rooted(hooks: DataFrame) -> DataFrame:
+    """fp and root of hooks (fp, root: a smaller node), with each hook followed to the node that has none; two steps a round."""
+    hooks = scratch.table(hooks.select("fp", "root", F.lit(True).alias("more")), "hooks")
+    while True:
+        once, twice = hooks.select(F.col("fp").alias("root"), F.col("root").alias("up")), hooks.select(F.col("fp").alias("up"), F.col("root").alias("top"))
+        moved = hooks.where("more").join(once, "root", "left").join(twice, "up", "left")
+        moved = moved.select("fp", F.coalesce("top", "up", "root").alias("root"), F.col("top").isNotNull().alias("more"))
+        after = scratch.table(moved.unionByName(hooks.where("NOT more")), "hooks")
+        more = after.where("more").limit(1).count()
+        scratch.drop(hooks)
+        hooks = after
+        if not more:
+            return hooks
+
+
+def smallest_reachable(nodes: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """fp and component, the least label among the nodes that each linked fp reaches.
 
-    nodes: fp, least (its smallest doc_id). Only linked fingerprints are returned.
+    nodes: fp, least (its label, as its smallest doc_id); without it a node's label is itself. Only linked fingerprints are returned.
+
+    The graph is contracted: each node hooks to its smallest neighbour if that is smaller than itself, hooks are followed to their
+    roots, and the edges go on between the roots, those within one root dropped. Two rounds leave half of the nodes at most, so all
+    rounds together join a small multiple of the edges, however large a component is.
     """
-    both = edges.union(edges.select("b", "a")).distinct().toDF("fp", "other")
-    both = scratch.table(both, "edges")
-    label = F.struct(F.col("least").alias("component"), F.col("fp").alias("holder"))
-    labels = nodes.join(both.select("fp").distinct(), "fp", "left_semi").select("fp", label.alias("label"))
-    labels = scratch.table(labels, "labels")
+    rest = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = scratch.table(rest, "edges")
+    rounds: list[DataFrame] = []
     while True:
-        near = both.join(labels.withColumnRenamed("fp", "other"), "other").select("fp", "label")
-        spread = labels.unionByName(near).groupBy("fp").agg(F.min("label").alias("label"))
-        held = labels.select(F.col("fp").alias("holder"), F.col("label").alias("jump"))
-        jumped = (
-            spread.withColumn("holder", F.col("label.holder"))
-            .join(held, "holder", "left")
-            .select("fp", F.least("label", F.coalesce("jump", "label")).alias("label"))
-        )
-        after = scratch.table(jumped, "labels")
-        changed = after.join(labels.withColumnRenamed("label", "old"), "fp").where(F.col("label") != F.col("old")).limit(1).count()
-        scratch.drop(labels)
-        labels = after
-        if not changed:
-            scratch.drop(both)
-            return labels.select("fp", F.col("label.component").alias("component"))
+        # An edge's larger end has a smaller neighbour, so it has a hook.
+        hooks = _rooted(rest.groupBy(F.col("b").alias("fp")).agg(F.min("a").alias("root")))
+        rounds.append(hooks)
+        high, low = (hooks.select(F.col("fp").alias(end), F.col("root").alias(name)) for end, name in (("b", "high"), ("a", "low")))
+        ends = rest.join(high, "b").join(low, "a", "left").select(F.coalesce("low", "a").alias("a"), F.col("high").alias("b"))
+        after = scratch.table(ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        scratch.drop(rest)
+        rest = after
+        if not rest.limit(1).count():
+            break
+    scratch.drop(rest)
+    # A round's nodes are roots of the rounds before it, so those follow its hooks.
+    rooted = rounds[-1].select("fp", "root")
+    for hooks in reversed(rounds[:-1]):
+        later = rooted.select(F.col("fp").alias("root"), F.col("root").alias("last"))
+        earlier = hooks.select("fp", "root").join(later, "root", "left").select("fp", F.coalesce("last", "root").alias("root"))
+        rooted = scratch.table(earlier.unionByName(rooted), "roots")
+    rooted = rooted.unionByName(rooted.select(F.col("root").alias("fp"), "root").distinct())
+    if nodes is None:
+        return scratch.table(rooted.withColumnRenamed("root", "component"), "labels")
+    rooted = scratch.table(rooted.join(nodes, "fp"), "roots")
+    # Written before the join, so that it is a plain one of two shuffled tables, which Spark can split where a component is large.
+    least = scratch.table(rooted.groupBy("root").agg(F.min("least").alias("component")), "least")
+    return scratch.table(rooted.join(least, "root").select("fp", "component"), "labels")
 
 
 def components(fps: DataFrame, budget: int = 2) -> DataFrame:
@@ -500,7 +527,7 @@ def similar_links(
     first = both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(words_in_shingle, similarity), "a bigint, b bigint")
     first = scratch.table(first, "links")
 
-    labels = smallest_reachable(texts.select(F.col("node").alias("fp"), F.col("node").alias("least")), first)
+    labels = smallest_reachable(None, first)
     labels = labels.select(F.col("fp").alias("node"), "component")
     inner = members.where("size > 3 AND node <> least AND node <> central").join(labels, "node", "left")
     inner = inner.select("slice", "least", "fp", "node", "shingles", F.coalesce("component", "node").alias("component"))
@@ -536,7 +563,7 @@ def keep_first(docs: DataFrame, *, words_in_shingle: int = 5, similarity: float
     nodes = scratch.table(same.groupBy("t1", "t2").agg(F.min("doc").alias("node")), "distinct-texts")
     texts = rows.join(nodes.select(F.col("node").alias("doc")), "doc", "left_semi").select(F.col("doc").alias("node"), "text")
     settings = {"words_in_shingle": words_in_shingle, "similarity": similarity, "slices": slices, "shingles": shingles}
-    labels = smallest_reachable(nodes.select(F.col("node").alias("fp"), F.col("node").alias("least")), similar_links(texts, **settings))
+    labels = smallest_reachable(None, similar_links(texts, **settings))
     copies = same.join(nodes, ["t1", "t2"]).where("doc <> node").select("doc")
     near = labels.where("fp <> component").select(F.col("fp").alias("doc"))
     gone = copies.union(near).distinct()

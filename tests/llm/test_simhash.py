@@ -264,3 +264,39 @@ def test_links_between_within_the_budget():
     found = simhash.links_between(sets, np.arange(80), np.zeros(80, int), 0.6, fps, 1)
     assert all(like(a, b) for a, b in found)
     assert _components_of(80, found) == _components_of(80, pairs)
+
+
+def _rows_joined(spark, already):
+    """Rows that the joins of all executions but the first `already` made, and the number of executions."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty()
+    executions = store.executionsList()
+    made = 0
+    for k in range(already, executions.size()):
+        number = executions.apply(k).executionId()
+        values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for metric in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                if "Join" in node.name() and metric.name() == "number of output rows" and values.get(metric.accumulatorId()).isDefined():
+                    made += int(values.get(metric.accumulatorId()).get().replace(",", ""))
+    return made, executions.size()
+
+
+def test_components_join_a_small_multiple_of_the_edges(spark):
+    # A path, a star and pairs, their numbers in no order: what takes many rounds must not join all edges in each.
+    rng = np.random.default_rng(14)
+    name = (rng.permutation(1400) - 700).tolist()
+    pairs = [(k, k + 1) for k in range(799)] + [(800, 801 + k) for k in range(399)] + [(1200 + 2 * k, 1201 + 2 * k) for k in range(100)]
+    least = rng.permutation(1400).tolist()
+    edges = spark.createDataFrame([(name[a], name[b]) for a, b in [*pairs, (5, 4), (900, 900)]], "a bigint, b bigint")
+    component = _components_of(1400, pairs)
+    members = {c: [k for k in range(1400) if component[k] == c] for c in set(component)}
+    want = {name[k]: min(least[m] for m in members[c]) for k, c in enumerate(component)}
+    nodes = spark.createDataFrame([(name[k], least[k]) for k in range(1400)], "fp bigint, least bigint")
+    before = _rows_joined(spark, 10**9)[1]
+    got = simhash.smallest_reachable(nodes, edges).collect()
+    assert len(got) == 1400 and {r.fp: r.component for r in got} == want
+    assert 0 < _rows_joined(spark, before)[0] < 10 * len(pairs)
+    own = simhash.smallest_reachable(None, edges).collect()
+    assert len(own) == 1400 and {r.fp: r.component for r in own} == {name[k]: min(name[m] for m in members[c]) for k, c in enumerate(component)}
+    assert simhash.smallest_reachable(None, edges.limit(0)).collect() == simhash.smallest_reachable(nodes, edges.limit(0)).collect() == []
